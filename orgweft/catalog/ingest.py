@@ -52,7 +52,7 @@ def scan_roundtrip(v: Views) -> DataFrame:
 @query(
     "mentions",
     """SELECT id, list_aggregate(list_sort(list_distinct(list_filter(
-              regexp_extract_all(text, '<@([^>|]*)', 1), x -> length(x) > 0))), 'string_agg', ',') AS mentions
+              regexp_extract_all(text, '<@([^>|]*)', 1), lambda x: length(x) > 0))), 'string_agg', ',') AS mentions
        FROM chat""",
 )
 def mention_scan(v: Views) -> DataFrame:
@@ -797,7 +797,7 @@ def owns_assertion(v: Views) -> DataFrame:
 
 
 def _commit_base(v: Views) -> Bundle:
-    return canonicalize(N.union_all(v.people, v.modules, v.artifact_records), DATASET)
+    return canonicalize(N.union_all(v.people, v.modules, v.artifact_records, v.thread_records), DATASET)
 
 
 @query(

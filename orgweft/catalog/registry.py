@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgweft.catalog.views import Views
+from orgweft.catalog.views import Views, open_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +17,7 @@ def query(name: str, sql: str | None = None):
     """Register ``f(views) -> DataFrame`` with the SQL that gives the same rows."""
 
     def register(build: Callable[[Views], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: build(Views(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: build(open_views(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = with_views(sql)
         return build
@@ -116,7 +116,8 @@ VIEWS: dict[str, str] = {
         SELECT 'person:' || author AS owner, 'module:' || m AS module, count(*) AS attributed,
                CAST(sum(count(*)) OVER (PARTITION BY m) AS BIGINT) AS total,
                row_number() OVER (PARTITION BY m ORDER BY count(*) DESC, author) AS owner_rank
-        FROM commit_modules JOIN commits USING (sha) GROUP BY author, m""",
+        FROM (SELECT author, m FROM commit_modules JOIN commits USING (sha)
+              UNION ALL SELECT author, m FROM chat) GROUP BY author, m""",
     "owns": """
         SELECT owner, module, 'owns:' || substr(owner, 8) || ':' || substr(module, 8) || ':authorship_density' AS k,
                0 AS authority_rank, 'inferred_authorship' AS authority, NULL AS observed,
@@ -208,6 +209,49 @@ VIEWS: dict[str, str] = {
         FROM preceded JOIN (SELECT DISTINCT key FROM kept WHERE NOT present) p ON p.key = preceded.previous
         UNION ALL
         SELECT parent, 'successor', child FROM dangling""",
+    "gapfind": """
+        SELECT key AS phantom, kind AS expected, 'required_sequence_step_missing' AS reason, earliest AS stated,
+               'unknown' AS pos, CAST(NULL AS BIGINT) AS days FROM (SELECT DISTINCT key, kind, earliest FROM kept WHERE NOT present)
+        UNION ALL
+        SELECT parent, 'thread_parent', 'dangling_thread_parent', max(t),
+               CASE WHEN max(days) <= 30 THEN 'export_boundary' ELSE 'in_window' END, max(days)
+        FROM dangling GROUP BY parent""",
+    "gapsum": """
+        SELECT phantom, count(CASE WHEN side = 'predecessor' THEN 1 END) AS preds,
+               count(CASE WHEN side = 'successor' THEN 1 END) AS succs,
+               min(CASE WHEN side = 'predecessor' THEN artifact END) AS first_pred,
+               min(CASE WHEN side = 'successor' THEN artifact END) AS first_succ,
+               max(CASE WHEN side = 'predecessor' THEN a.t END) AS lp,
+               min(CASE WHEN side = 'successor' THEN a.t END) AS fs
+        FROM glinks LEFT JOIN artifacts a ON a.key = artifact GROUP BY phantom""",
+    "gaprows": """
+        SELECT f.phantom, expected, reason,
+               coalesce(stated, CAST(round_even((lp + fs) / 2.0, 0) AS BIGINT)) AS epoch,
+               coalesce(preds, 0) AS preds, coalesce(succs, 0) AS succs, first_pred, first_succ, pos, days
+        FROM gapfind f LEFT JOIN gapsum s ON s.phantom = f.phantom""",
+    "reporting": """
+        SELECT p.key AS a, 'person:s' || (p.s_suppkey - p.s_suppkey % 10) AS b FROM people p WHERE p.s_suppkey % 10 <> 0""",
+    "allpaths": """
+        SELECT s, s AS v, [s] AS path, 0 AS d FROM (SELECT DISTINCT a AS s FROM reporting WHERE a IN (SELECT v FROM verts))
+        UNION ALL
+        SELECT p.s, a.dst, list_append(p.path, a.dst), p.d + 1 FROM allpaths p JOIN arcs a ON a.src = p.v
+        JOIN dist t ON t.s = p.s AND t.v = a.dst AND t.d = p.d + 1 WHERE p.d < 4""",
+    "removedwalks": """
+        SELECT g, x.v AS s, x.v AS v, 0 AS d FROM (SELECT key AS g FROM scores WHERE structural <= 10) JOIN verts x ON x.v <> g
+        UNION
+        SELECT w.g, w.s, a.dst, w.d + 1 FROM removedwalks w JOIN arcs a ON a.src = w.v AND a.dst <> w.g WHERE w.d < 4""",
+    "risks": """
+        SELECT 'coordination|' || k || '|' || so || '|' || t_o AS risk_key,
+               CASE WHEN least(100, severity * 8) >= 80 THEN 'P1' WHEN severity * 8 >= 60 THEN 'P2' WHEN severity * 8 >= 35 THEN 'P3' ELSE 'P4' END AS priority,
+               'coordination' AS kind, 'Brand ' || substr(sm, 14) AS team,
+               greatest(35, least(95, least(sc, tc))) AS confidence, so AS source_key, t_o AS target_key FROM faults
+        UNION ALL
+        SELECT 'key-person|' || key, CASE WHEN 50 + greatest(0, formal - structural) * 5 >= 80 THEN 'P1'
+               WHEN 50 + greatest(0, formal - structural) * 5 >= 60 THEN 'P2' ELSE 'P3' END,
+               'key-person', 'Organization', greatest(40, least(96, CAST(floor(55 + c * 100 + 0.5) AS BIGINT))), key, NULL FROM scores
+        UNION ALL
+        SELECT 'missing-evidence|' || phantom, CASE WHEN pos = 'in_window' OR reason = 'required_sequence_step_missing' THEN 'P2' ELSE 'P3' END,
+               'missing-evidence', 'Unassigned', CASE WHEN pos = 'in_window' THEN 78 ELSE 58 END, first_pred, first_succ FROM gaprows""",
 }
 
 
@@ -225,10 +269,10 @@ def with_views(sql: str) -> str:
                     order.append(name)
 
     visit(sql)
-    if not order:
-        return sql
     parts = [f"{name} AS ({VIEWS[name]})" for name in order]
     body = sql.strip()
+    if not parts:
+        return re.sub(r"^WITH ", "WITH RECURSIVE ", body)
     if body.upper().startswith("WITH RECURSIVE "):
         return "WITH RECURSIVE " + ", ".join(parts) + ", " + body[len("WITH RECURSIVE ") :]
     if body.upper().startswith("WITH "):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgweft.functions.text import slug
+from orgweft.operators import canonicalize as C
 from orgweft.operators import derive as D
 from orgweft.operators.lenses import communication_window
 from orgweft.operators.normalize import (
@@ -22,8 +23,9 @@ from orgweft.operators.normalize import (
     slack_records,
     union_all,
 )
-from orgweft.plans.bundle import Bundle, build_bundle, canonicalize
+from orgweft.plans.bundle import Bundle, canonicalize, complete
 from orgweft.schemas import COMMIT_ROW, EMAIL_ROW, TICKET_ROW, conform, meta_struct
+from orgweft.session import stored
 from orgweft.sources.chat import chat_rows
 
 DATASET = "bench"
@@ -33,6 +35,17 @@ ASSERTED_FROM = 789004800
 FIVE_YEARS = 157680000
 
 
+_OPEN: dict[tuple[str, str], Views] = {}
+
+
+def open_views(spark: SparkSession, sf_dir: str) -> Views:
+    """The views of a folder; within one session its graph is built once, like a snapshot."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OPEN:
+        _OPEN[key] = Views(spark, sf_dir)
+    return _OPEN[key]
+
+
 class Views:
     """Lazily built views of one table folder."""
 
@@ -401,10 +414,10 @@ class Views:
 
     @cached_property
     def bundle(self) -> Bundle:
-        return build_bundle(self.records, DATASET, self.contracts)
+        return complete(self.base, self.contracts)
 
     def evidence_of(self, *records: DataFrame) -> DataFrame:
-        return canonicalize(union_all(*records), DATASET).evidence
+        return C.evidence_of(C.deduplicate(union_all(*records)), DATASET)
 
     @cached_property
     def recent(self) -> Bundle:
@@ -413,7 +426,7 @@ class Views:
 
     @cached_property
     def talk_edges(self) -> DataFrame:
-        return D.communicates(self.evidence_of(self.talk), DATASET)[0]
+        return stored(D.communicates(self.evidence_of(self.talk), DATASET)[0], "talk")
 
     @cached_property
     def recent_talk(self) -> DataFrame:

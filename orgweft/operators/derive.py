@@ -35,6 +35,26 @@ def _links(edges: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
     )
 
 
+def _claims(
+    facts: DataFrame, dataset_id: str, rel_type: str, tail: Column, person: bytes
+) -> DataFrame:
+    """Links of facts to the edge their keys lead to; no join is needed."""
+    edges = edge_frame(
+        facts,
+        dataset_id,
+        rel_type,
+        discriminator=tail,
+        canonical_key=_keyed(rel_type, tail),
+        props=F.lit(None),
+        evidence_class=F.lit(None),
+        keep=("evidence_id",),
+        person=person,
+    )
+    return edges.select(
+        F.col("id").alias("edge_id"), F.col("canonical_key").alias("edge_key"), "evidence_id"
+    )
+
+
 def communication_facts(evidence: DataFrame) -> DataFrame:
     return evidence.where(F.col("predicate") == "communication_aggregate").select(
         F.concat(F.lit("person:"), F.col("meta.sender_external_id")).alias("source_key"),
@@ -77,7 +97,9 @@ def communicates(evidence: DataFrame, dataset_id: str, person: bytes = DEFAULT_P
         evidence_class=F.lit("inferred"),
         person=person,
     )
-    return edges, _links(edges, facts, ["source_key", "target_key"])
+    return edges, _claims(
+        facts, dataset_id, "COMMUNICATES", F.lit("aggregate"), person
+    )
 
 
 def owns_aggregate(evidence: DataFrame, dataset_id: str, person: bytes = DEFAULT_PERSON) -> Derived:
@@ -274,7 +296,7 @@ def depends_cochange(evidence: DataFrame, dataset_id: str, person: bytes = DEFAU
         evidence_class=F.lit("inferred"),
         person=person,
     )
-    return edges, _links(edges, facts, ["source_key", "target_key"])
+    return edges, _claims(facts, dataset_id, "DEPENDS_ON", F.lit("cochange"), person)
 
 
 def derive_edges(

@@ -21,7 +21,7 @@ from orgweft.operators.normalize import (
     union_all,
 )
 from orgweft.schemas import CONTRACT_FILE, EVIDENCE_COLUMNS, conform
-from orgweft.session import scalar
+from orgweft.session import scalar, stored
 
 
 @dataclass(frozen=True)
@@ -48,16 +48,20 @@ def no_contracts(like: DataFrame) -> DataFrame:
 
 
 def canonicalize(records: DataFrame, dataset_id: str, person: bytes = DEFAULT_PERSON) -> Bundle:
-    """Evidence, nodes and observed edges of a set of records. Lazy; order-free; idempotent."""
-    evidence = C.evidence_of(C.deduplicate(records), dataset_id)
+    """Evidence, nodes and observed edges of a set of records. Order-free and idempotent.
+
+    Evidence is written once, split by predicate, so that each derivation reads only the
+    facts it is about; nodes and edges are written split by label and type.
+    """
+    evidence = stored(C.evidence_of(C.deduplicate(records), dataset_id), "evidence", "predicate")
     candidates = C.node_candidates(evidence, dataset_id, person)
-    nodes = C.merge_nodes(candidates)
+    nodes = stored(C.merge_nodes(candidates), "nodes", "label")
     edge_candidates = C.observed_edge_candidates(evidence, nodes, dataset_id, person)
     empty = records.sparkSession.createDataFrame([], "limitation STRING")
     return Bundle(
         dataset_id=dataset_id,
         nodes=nodes,
-        edges=C.merge_edges(edge_candidates),
+        edges=stored(C.merge_edges(edge_candidates), "edges", "rel_type"),
         evidence=evidence,
         node_evidence=C.node_links(candidates),
         edge_evidence=C.edge_links(edge_candidates),
@@ -84,11 +88,24 @@ def build_bundle(
     contracts: DataFrame | None = None,
     person: bytes = DEFAULT_PERSON,
 ) -> Bundle:
-    base = canonicalize(records, dataset_id, person)
+    return complete(canonicalize(records, dataset_id, person), contracts, person)
+
+
+def complete(
+    base: Bundle, contracts: DataFrame | None = None, person: bytes = DEFAULT_PERSON
+) -> Bundle:
+    """The base graph with its derived edges and gap phantoms, written once."""
+    dataset_id = base.dataset_id
     derived = derive_edges(base.evidence, base.edges, base.edge_evidence, dataset_id, person)
-    wanted = no_contracts(records) if contracts is None else conform(contracts, CONTRACT_FILE)
+    wanted = no_contracts(base.nodes) if contracts is None else conform(contracts, CONTRACT_FILE)
     gaps = detect_gaps(base.evidence, base.nodes, wanted, dataset_id, person)
-    return compose(base, derived, gaps)
+    whole = compose(base, derived, gaps)
+    return replace(
+        whole,
+        nodes=stored(whole.nodes, "nodes", "label"),
+        edges=stored(whole.edges, "edges", "rel_type"),
+        evidence=stored(whole.evidence, "evidence", "predicate"),
+    )
 
 
 def ingest_records(

@@ -66,3 +66,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, where every executor can write."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and return a scan of it.
+
+    Every later operator then reads only the columns and partitions it needs instead of
+    running the steps before it again, and lost executors cost no recomputation.
+    """
+    path = shared_folder(df.sparkSession, name)
+    writer = df.write
+    if partition_by is not None:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
