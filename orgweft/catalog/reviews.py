@@ -170,8 +170,11 @@ def approval_answer(v: Views) -> DataFrame:
 @query(
     "verdict",
     f"""WITH {_MODS}, {_ASKED}, imp AS (SELECT DISTINCT 'impact:' || m AS id FROM mods JOIN depends d ON d.b = 'module:' || m),
-            rev AS (SELECT DISTINCT 'reviewer:' || p.id AS id FROM chat c JOIN chat p ON p.id = c.parent)
+            rev AS (SELECT DISTINCT 'reviewer:' || p.id AS id FROM chat c JOIN chat p ON p.id = c.parent), {_RANKED},
+            open AS (SELECT substr(module, 8) AS m FROM ranked WHERE r = 1 AND authority = 'inferred_authorship'
+                     AND module IN (SELECT module FROM asserted GROUP BY module HAVING count(DISTINCT owner) > 1))
        SELECT id AS question_id, CASE
+         WHEN intent = 'owner' AND substr(id, instr(id, ':') + 1) IN (SELECT m FROM open) AND id NOT LIKE 'missing:%' THEN 'DISPUTED'
          WHEN id LIKE 'missing:%' THEN 'NOT_FOUND'
          WHEN intent IN ('owner', 'author') THEN 'SUPPORTED'
          WHEN intent = 'dependency_impact' AND id IN (SELECT id FROM imp) THEN 'SUPPORTED'
