@@ -32,7 +32,6 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
-        .option("enforceSchema", False)
         .csv(path)
     )
 
