@@ -224,25 +224,21 @@ def synthetic(v: Views) -> DataFrame:
 
 @query(
     "leader_talk",
-    """WITH mem AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier),
-            x AS (SELECT least(a, b) AS a, greatest(a, b) AS b FROM (
-                    SELECT 's' || l.s_suppkey AS a, 's' || r.s_suppkey AS b FROM mem l JOIN mem r ON r.s_nationkey = l.s_nationkey AND l.i < r.i
-                    UNION SELECT 'bridge', 's' || s_suppkey FROM mem WHERE i = 1))
-       SELECT a, b FROM x""",
+    """WITH x AS (SELECT p_partkey % n AS i, (p_partkey * 3 + 1) % n AS j, p_size % n AS k FROM part, n),
+            t AS (SELECT 's' || i AS a, 's' || j AS b FROM x UNION SELECT 's' || i, 's' || k FROM x
+                  UNION SELECT 's' || j, 's' || k FROM x UNION SELECT 'bridge', 's' || i FROM x)
+       SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM t WHERE a <> b""",
 )
 def leaders(v: Views) -> DataFrame:
-    """Talk among the suppliers of each nation, the first of them its chair."""
-    groups = v.table("supplier").groupBy("s_nationkey").agg(
-        F.transform(
-            F.array_sort(F.collect_list("s_suppkey")), lambda k: F.concat(F.lit("s"), k.cast("string"))
-        ).alias("members")
-    ).select(
-        F.col("s_nationkey").alias("place"),
-        F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")).alias("slug"),
-        "members",
-        F.slice("members", 1, 1).alias("chairs"),
+    """Talk among the three leaders each part has in its row, the first of them its chair."""
+    key = F.col("p_partkey")
+    groups = v.table("part").select(
+        key.alias("place"),
+        F.concat(F.lit("part-"), key.cast("string")).alias("slug"),
+        F.array(v.handle(key), v.handle(key * 3 + 1), v.handle(F.col("p_size"))).alias("members"),
+        F.array(v.handle(key)).alias("chairs"),
     )
-    nothing = v.spark.createDataFrame([], "place INT, src STRING, dst STRING, weight INT")
+    nothing = v.spark.createDataFrame([], "place BIGINT, src STRING, dst STRING, weight INT")
     talk = leader_talk(groups, nothing, "bridge")
     a, b = F.col("meta.sender_external_id"), F.col("meta.recipient_external_id")
     return talk.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))

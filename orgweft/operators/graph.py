@@ -287,10 +287,11 @@ def length_sweep(graph: Graph, lengths: range, top: int, baseline: int = 4) -> D
         .groupBy("distance")
         .agg(F.count("*").alias("n"))
     )
-    bounds = firsts.select("max_len").distinct()
-    totals = bounds.join(pairs, F.col("distance") <= F.col("max_len")).groupBy("max_len").agg(
-        F.sum("n").alias("reachable_pairs")
+    every = F.array(*[F.lit(bound) for bound in lengths])
+    counted = pairs.withColumn("bounds", every).select(
+        F.explode(F.filter("bounds", lambda b: b >= F.col("distance"))).alias("max_len"), "n"
     )
+    totals = counted.groupBy("max_len").agg(F.sum("n").alias("reachable_pairs"))
     base = firsts.where(F.col("max_len") == baseline).select("v")
     shared = firsts.join(base, "v", "left_semi").groupBy("max_len").agg(F.count("*").alias("shared"))
     sizes = firsts.groupBy("max_len").agg(F.min_by("v", F.struct(-F.col("tally"), "v")).alias("top_1"))

@@ -280,8 +280,12 @@ def sampled_ghosts(
     people = G.resolved_people(nodes)
     graph = G.communication_graph(nodes, edges)
     chosen = durable(G.even_sample(people, order, sample).select("canonical_key"))
-    pairs = chosen.select(F.col("canonical_key").alias("a")).join(
-        chosen.select(F.col("canonical_key").alias("b")), F.col("a") < F.col("b")
+    # The sample's size is a fixed parameter, so its keys fit in one array.
+    others = chosen.select(F.collect_set("canonical_key")).scalar()
+    pairs = (
+        chosen.withColumn("others", others)
+        .select(F.col("canonical_key").alias("a"), F.explode("others").alias("b"))
+        .where("a < b")
     )
     paths = G.all_shortest_paths(graph, pairs, max_len)
     arcs, seen = G.graph_of_paths(paths, path_count)
