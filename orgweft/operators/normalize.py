@@ -23,16 +23,14 @@ def records_of(df: DataFrame, meta: Column, **columns: Column) -> DataFrame:
         "content": F.lit(None),
         "content_sha256": empty_sha256(),
     }
-    values = {**defaults, **columns, "meta": meta}
-    values["metadata_json"] = F.to_json(meta)
+    values = {**defaults, **columns}
     types = {"occurred_at_epoch": "bigint", "subjects": "array<string>"}
-    return df.select(
-        *[
-            values[name].alias(name)
-            if name == "meta"
-            else values[name].cast(types.get(name, "string")).alias(name)
-            for name in RECORD_COLUMNS
-        ]
+    plain = [
+        values[name].cast(types.get(name, "string")).alias(name) for name in RECORD_COLUMNS[:9]
+    ]
+    # The struct is built once; its text is made from the finished column.
+    return df.select(*plain, meta.alias("meta")).select(
+        *RECORD_COLUMNS[:9], F.to_json("meta").alias("metadata_json"), "meta"
     )
 
 

@@ -336,3 +336,69 @@ def leader_ownership(groups: DataFrame) -> DataFrame:
         occurred_at_epoch=F.lit(CURATED_EPOCH),
         subjects=F.array(F.concat(F.lit("person:"), F.col("owner")), F.concat(F.lit("module:"), F.col("slug"))),
     )
+
+
+def leader_authorship(groups: DataFrame) -> DataFrame:
+    """Authorship counts of the first four leaders: 40, 35, 30, 25 of their sum."""
+    owners = F.slice(F.array_distinct("members"), 1, 4)
+    count = F.size(owners)
+    rows = groups.select(
+        "slug",
+        (40 * count - 5 * (count * (count - 1) / 2)).cast("bigint").alias("total"),
+        F.posexplode(owners).alias("at", "owner"),
+    )
+    module = F.concat(F.lit("module:"), F.col("slug"))
+    return records_of(
+        rows,
+        meta_struct(
+            attributed_count=40 - F.col("at") * 5,
+            module_external_id=F.col("slug"),
+            total_attributed_count=F.col("total"),
+        ),
+        source=F.lit("curated-git"),
+        external_id=F.concat_ws("-", F.lit("auth"), "owner", "slug", F.col("at").cast("string")),
+        kind=F.lit("authorship_aggregate"),
+        occurred_at_epoch=F.lit(CURATED_EPOCH),
+        author_external_id=F.col("owner"),
+        subjects=F.array(F.concat(F.lit("person:"), F.col("owner")), module),
+    )
+
+
+def repo_facts(repos: DataFrame, groups: DataFrame) -> DataFrame:
+    """Repositories of a classified group: owned by its first leader, depending on its module.
+
+    ``repos``: repo, group (as ``classify_repos`` gives them). ``groups``: slug, members.
+    """
+    owned = repos.where("group IS NOT NULL").join(
+        groups.select(F.col("slug").alias("group"), F.get("members", F.lit(0)).alias("owner")), "group"
+    ).where("owner IS NOT NULL").withColumn("key", F.concat(F.lit("repo-"), F.col("repo")))
+    module = F.concat(F.lit("module:"), F.col("key"))
+    ownership = records_of(
+        owned,
+        meta_struct(
+            authority=F.lit("sig_topic_heuristic"),
+            authority_rank=F.lit(70),
+            confidence=F.lit(80),
+            valid_from_epoch=F.lit(CURATED_EPOCH - 86_400 * 30),
+        ),
+        source=F.lit("curated-repos"),
+        external_id=F.concat_ws("-", F.lit("owner"), "owner", "key"),
+        kind=F.lit("ownership_assertion"),
+        occurred_at_epoch=F.lit(CURATED_EPOCH),
+        subjects=F.array(F.concat(F.lit("person:"), F.col("owner")), module),
+    )
+    depends = records_of(
+        owned,
+        meta_struct(
+            dependency_kind=F.lit("explicit_reference"),
+            source_module_external_id=F.col("key"),
+            target_module_external_id=F.col("group"),
+            weight=F.lit(6),
+        ),
+        source=F.lit("curated-repos"),
+        external_id=F.concat_ws("-", F.lit("dep"), "key", "group"),
+        kind=F.lit("dependency"),
+        occurred_at_epoch=F.lit(CURATED_EPOCH),
+        subjects=F.array(module, F.concat(F.lit("module:"), F.col("group"))),
+    )
+    return ownership.unionByName(depends)

@@ -163,9 +163,12 @@ def _struct(types: dict[str, str], values: dict[str, Column]) -> Column:
     unknown = set(values) - set(types)
     if unknown:
         raise ValueError(f"unknown property names: {sorted(unknown)}")
+    absent = {data_type: F.lit(None).cast(data_type) for data_type in set(types.values())}
     return F.struct(
         *[
-            values.get(name, F.lit(None)).cast(data_type).alias(name)
+            values[name].cast(data_type).alias(name)
+            if name in values
+            else absent[data_type].alias(name)
             for name, data_type in types.items()
         ]
     )
