@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orgweft.llm import quality, secrets, url_cascade
+from orgweft.llm import packing, quality, secrets, url_cascade, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,11 +24,25 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op8_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(spark, _table(spark, sf_dir, "pages"))
 
 
-for _query in (op3_quality_ledger, op6_secret_ownership, op10_url_cascade):
+for _query in (
+    op3_quality_ledger,
+    op6_secret_ownership,
+    op8_configuration_packing,
+    op9_dictionary_warc,
+    op10_url_cascade,
+):
     QUERIES[_query.__name__] = _query
 
 ORACLES["op3_quality_ledger"] = quality.SQL

@@ -24,7 +24,7 @@ RULES: tuple[tuple[int, str, str], ...] = (
     (0, "few_words", "n_words < 50"),
     (1, "repeated_words", "100 * n_repeat_words > 50 * n_words"),
     (2, "symbols", "100 * n_symbols > 20 * n_words"),
-    (3, "repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    (3, "repeated_lines", "n_lines >= 10 AND 100 * n_dup_lines > 30 * n_lines"),
     (4, "word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
     (5, "capitals", "100 * n_capitals > 50 * word_chars"),
 )
