@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from orgweft.llm import packing, quality, secrets, url_cascade, warc
+from pyspark.sql import functions as F
+
+from orgweft.llm import (
+    decontamination,
+    ngram_join,
+    packing,
+    quality,
+    secrets,
+    suffix_repeats,
+    url_cascade,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,14 +26,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_table(spark, sf_dir, "documents"), size=4, percent=85).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
 def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.remove(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op8_configuration_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -37,8 +63,11 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _query in (
+    op2_simhash_decontamination,
     op3_quality_ledger,
+    op4_ngram_jaccard,
     op6_secret_ownership,
+    op7_suffix_repeats,
     op8_configuration_packing,
     op9_dictionary_warc,
     op10_url_cascade,
@@ -47,3 +76,5 @@ for _query in (
 
 ORACLES["op3_quality_ledger"] = quality.SQL
 ORACLES["op10_url_cascade"] = url_cascade.SQL
+ORACLES["op4_ngram_jaccard"] = ngram_join.SQL
+ORACLES["op7_suffix_repeats"] = suffix_repeats.SQL

@@ -83,25 +83,28 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def blocks(texts: pa.Array, lower: bool):
-    """``(from, to, Words)`` over runs of texts of some two million bytes (one at least)."""
+def blocks(texts: pa.Array, lower: bool, separator: np.ndarray = IS_SEPARATOR):
+    """``(from, to, Words)`` over runs of texts of some two million bytes (one at least).
+
+    ``separator`` tells for each byte whether it parts words.
+    """
     data, offsets = _buffer(texts)
     start, count = 0, len(offsets) - 1
     while start < count:
         stop = int(np.searchsorted(offsets, offsets[start] + _BLOCK, side="right")) - 1
         stop = min(max(stop, start + 1), count)
         part = data[offsets[start] : offsets[stop]]
-        yield start, stop, _cut(part, offsets[start : stop + 1] - offsets[start], lower)
+        yield start, stop, _cut(part, offsets[start : stop + 1] - offsets[start], lower, separator)
         start = stop
 
 
-def _cut(part: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
+def _cut(part: np.ndarray, offsets: np.ndarray, lower: bool, table: np.ndarray) -> Words:
     if lower:
         part = LOWER[part]
     length = len(part)
     # A text's end also ends its last word: word starts are looked for per text.
     separator = np.ones(length + 1, dtype=bool)
-    separator[1:] = IS_SEPARATOR[part]
+    separator[1:] = table[part]
     begins = separator[:-1].copy()
     begins[offsets[:-1][offsets[:-1] < length]] = True
     begins &= ~separator[1:]
