@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from orgweft.llm import (
     decontamination,
+    language_id,
     ngram_join,
     packing,
     quality,
     secrets,
     suffix_repeats,
+    suffix_tree_lm,
     url_cascade,
     warc,
 )
@@ -26,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +46,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
@@ -63,9 +73,11 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _query in (
+    op1_suffix_tree_scores,
     op2_simhash_decontamination,
     op3_quality_ledger,
     op4_ngram_jaccard,
+    op5_language_hierarchy,
     op6_secret_ownership,
     op7_suffix_repeats,
     op8_configuration_packing,

@@ -4,12 +4,15 @@ Two documents link when their shingle sets' Jaccard similarity reaches a thresho
 join loses no link between different sets, and never lists the pairs of a group:
 
 1. Documents with equal sets form classes; only one set per class goes on.
-2. Rare shingles first, each set gives its prefix: as many shingles as it may lack in common
-   with a set that links with it, and one more. Linked sets share a prefix shingle. How rare a
-   shingle is comes from a table of fixed size; any order gives the same links, a good one
-   keeps passages that many documents share out of the prefixes.
-3. Each shared prefix shingle ties its sets to the smallest of them (a star, not all pairs);
-   the components of these ties are candidate clusters, so each set is sent once.
+2. Sizes fall into bands, and a pair belongs to the band of its larger set. Two sets that link
+   differ in at most ``D`` shingles, which follows from the band. Each set is dealt, by hash, into
+   more than ``D`` parts; so one part at least holds the same shingles in both, and the hash of
+   a part's whole content is a key they share. Sets that only share a passage, or phrases
+   that many documents have, hardly ever share a whole part. A set whose filled parts are too
+   few for that (only two such sets can miss each other) adds prefix keys: the shingles of
+   smallest hash, one more than it may lack in common.
+3. Each shared key ties its sets to the smallest of them (a star, not all pairs); the
+   components of these ties are candidate clusters, so each set is sent once.
 4. A cluster is a tile. Clusters that exceed ``TILE_SHINGLES`` are cut into bands of set size
    (a link bridges neighbouring bands at most) and into blocks, with a tile per pair of
    blocks, so that no task holds more than a few blocks.
@@ -35,9 +38,9 @@ from pyspark.sql import functions as F
 
 from orgweft.llm import words as w
 from orgweft.operators.graph import connected_components
-from orgweft.session import stored
+from orgweft.llm.stages import stored
 
-SKETCH_BITS = 21
+BAND_RATIO = 1.6
 SIGNATURE_WORDS = 16
 TILE_SHINGLES = 4_000_000
 
@@ -72,9 +75,8 @@ def _digests(size: int):
             n, one, two = [], [], []
             for own in _sets(batch.column("text"), size):
                 n.append(len(own))
-                mixed = w.mix(own + np.uint64(len(own)))
-                one.append(int(mixed.sum(dtype=np.uint64)))
-                two.append(int(np.bitwise_xor.reduce(w.mix(mixed)) if len(own) else 0))
+                one.append(int(_digest(own)))
+                two.append(int(np.bitwise_xor.reduce(w.mix(own))) if len(own) else 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -88,62 +90,57 @@ def _digests(size: int):
     return run
 
 
-def _common(size: int, bits: int):
-    """Buckets of shingles that a batch holds more than twice, with their counts."""
-
-    def run(batches):
-        for batch in batches:
-            sets = list(_sets(batch.column("text"), size))
-            if not sets:
-                continue
-            value, count = np.unique(np.concatenate(sets), return_counts=True)
-            often = count > 2
-            bucket = (value[often] >> np.uint64(64 - bits)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket), pa.array(count[often].astype(np.int64))], names=["bucket", "n"]
-            )
-
-    return run
-
+def bands(percent: int, largest: int) -> np.ndarray:
+    """The largest size of each band, up to the band above the one that holds ``largest``. Sets
+    that link lie in one band or in neighbouring ones.
+    """
+    ratio, tops = max(BAND_RATIO, 100 / percent), []
+    while len(tops) < 2 or tops[-2] < largest:
+        low = tops[-1] + 1 if tops else 1
+        tops.append(max(low, int(low * ratio)))
+    return np.array(tops, dtype=np.int64)
+
+
+def keys(own: np.ndarray, band: int, top: int, percent: int) -> np.ndarray:
+    """Keys of a set in a band whose largest size is ``top``."""
+    differ = 2 * top * (100 - percent) // (100 + percent)
+    parts = differ + 1 + (differ // 10 + 1 if differ else 0)
+    part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    begins = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    content = np.add.reduceat(w.mix(own + np.uint64(1)), begins)
+    out = w.mix(content + part[begins] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
+    if len(begins) <= differ:
+        prefix = own[: len(own) - needed(len(own), percent) + 1]
+        out = np.concatenate([out, w.mix(prefix ^ np.uint64((band + 1) << 40))])
+    return out
 
-def commonness(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Roughly how often shingles occur, as the logarithm of a count per bucket of hashes.
 
-    A table of ``2 ** bits`` bytes whatever the corpus holds; it only orders shingles.
-    """
-    rows = (
-        docs.select("text")
-        .mapInArrow(_common(size, bits), "bucket int, n bigint")
-        .groupBy("bucket")
-        .agg(F.sum("n").alias("n"))
-        .select("bucket", F.ceil(F.log2(F.col("n") + 1)).cast("tinyint").alias("level"))
-        .toArrow()
-    )
-    table = np.zeros(1 << bits, dtype=np.uint8)
-    table[rows.column("bucket").to_numpy()] = rows.column("level").to_numpy()
-    return table
+def _digest(own: np.ndarray) -> np.uint64:
+    return w.mix(own + np.uint64(len(own))).sum(dtype=np.uint64)
 
 
-def _prefixes(size: int, percent: int, table):
+def _keyed(size: int, percent: int):
     def run(batches):
-        levels = table.value
-        shift = np.uint64(64 - (len(levels).bit_length() - 1))
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            keys, counts = [], []
-            for own in _sets(batch.column("text"), size):
-                if len(own):
-                    take = len(own) - needed(len(own), percent) + 1
-                    order = np.lexsort((own, levels[own >> shift]))[:take]
-                    own = own[order]
-                keys.append(own)
-                counts.append(len(own))
+            sets = [own for own in _sets(batch.column("text"), size) if len(own)]
+            if not sets:
+                continue
+            tops = bands(percent, max(map(len, sets)))
+            found, nodes, counts = [], [], []
+            for own in sets:
+                band = int(np.searchsorted(tops, len(own)))
+                own_keys = [keys(own, band, int(tops[band]), percent)]
+                if 100 * len(own) // percent > tops[band]:
+                    own_keys.append(keys(own, band + 1, int(tops[band + 1]), percent))
+                found += own_keys
+                nodes.append(_digest(own))
+                counts.append(sum(map(len, own_keys)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(w.signed(np.concatenate(keys)) if keys else np.empty(0, np.int64)),
-                    pa.array(np.repeat(ids, counts), pa.int64()),
+                    pa.array(w.signed(np.concatenate(found))),
+                    pa.array(np.repeat(w.signed(np.array(nodes, np.uint64)), counts)),
                 ],
-                names=["h", "node"],
+                names=["h", "d1"],
             )
 
     return run
@@ -267,7 +264,6 @@ def components(
     """``doc_id, n_shingles, component_id, class_id`` per row. ``component_id`` is the smallest
     ``doc_id`` reachable over links, ``class_id`` the smallest with an equal set.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     digests = stored(
         rows.mapInArrow(_digests(size), "doc_id bigint, n bigint, d1 bigint, d2 bigint"), "digests"
@@ -278,32 +274,29 @@ def components(
         .agg(F.min("doc_id").alias("node")),
         "classes",
     )
-    # Documents that stand for their class; one row each.
-    chosen = classes.select("node", "n")
-    texts = rows.where("doc_id IS NOT NULL").join(
-        chosen.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"
-    )
-    table = spark.sparkContext.broadcast(commonness(texts, size))
-    prefix = lambda: texts.mapInArrow(_prefixes(size, percent, table), "h bigint, node bigint")
+    known = rows.where("doc_id IS NOT NULL").select("text")
+    keyed = lambda: known.mapInArrow(_keyed(size, percent), "h bigint, d1 bigint")
     shared = stored(
-        prefix()
+        keyed()
         .groupBy("h")
-        .agg(F.min("node").alias("first"), F.max("node").alias("last"))
+        .agg(F.min("d1").alias("first"), F.max("d1").alias("last"))
         .where("first < last")
         .select("h", "first"),
-        "prefixes",
+        "keys",
     )
     ties = stored(
-        prefix()
+        keyed()
         .join(shared, "h")
-        .where("node <> first")
-        .select(F.col("first").alias("a"), F.col("node").alias("b"))
+        .where("d1 <> first")
+        .select(F.col("first").alias("a"), F.col("d1").alias("b"))
         .distinct(),
         "ties",
     )
     tied = ties.select(F.col("a").alias("v")).union(ties.select("b")).distinct()
     clusters = stored(connected_components(stored(tied, "tied"), ties), "candidates")
-    members = clusters.select(F.col("v").alias("node"), F.col("component").alias("cluster")).join(chosen, "node")
+    members = clusters.select(F.col("v").alias("d1"), F.col("component").alias("cluster")).join(
+        classes.select("d1", "node", "n"), "d1"
+    )
     tiles = stored(_tiles(members, percent, tile_shingles), "tiles")
     sets = (
         rows.join(tiles.withColumnRenamed("node", "doc_id"), "doc_id")

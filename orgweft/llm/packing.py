@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgweft.functions.ranking import global_row_number
-from orgweft.session import stored
+from orgweft.llm.stages import stored
 
 CAPACITY = 2048
 END_ID = 0

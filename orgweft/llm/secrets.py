@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgweft.session import stored
+from orgweft.llm.stages import stored
 
 KINDS = ("assign", "access", "hex", "live")
 MANY_OWNERS = 4

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orgweft.llm import words as w
-from orgweft.session import stored
+from orgweft.llm.stages import stored
 
 MIN_WORDS = 13
 GRAM = 5

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgweft.session import stored
+from orgweft.llm.stages import stored
 
 #: The query's rules, and the hosts that its list blocks.
 RULES: tuple[tuple[str, str], ...] = (

@@ -31,7 +31,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgweft.session import shared_folder, stored
+from orgweft.llm.stages import stored
+from orgweft.session import shared_folder
 
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
