@@ -42,7 +42,8 @@ from orgweft.llm.stages import stored
 
 BAND_RATIO = 1.6
 SIGNATURE_WORDS = 16
-TILE_SHINGLES = 4_000_000
+TILE_SHINGLES = 12_000_000
+PIVOTS = 6
 
 
 def _sets(texts: pa.Array, size: int):
@@ -183,26 +184,39 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
     sizes = np.array([len(own) for own in sets], dtype=np.int64)
     bitmaps = _signatures(sets)
     root = np.arange(len(sets))
-    out = []
+    out: list[tuple[int, int]] = []
+    pivots: list[int] = []  # sets that others linked with lately
     for i in range(1, len(sets)):
         low = int(np.searchsorted(sizes[:i], needed(int(sizes[i]), percent)))
         if low == i:
             continue
-        alone = np.bitwise_count(bitmaps[i] & ~bitmaps[low:i]).sum(axis=1, dtype=np.int64)
-        other = np.bitwise_count(bitmaps[low:i] & ~bitmaps[i]).sum(axis=1, dtype=np.int64)
-        bound = np.minimum(sizes[i] - alone, sizes[low:i] - other)
-        least = pair_needed(sizes[i], sizes[low:i], percent)
-        possible = np.flatnonzero(bound >= least)
-        possible = possible[np.argsort(-(bound[possible] - least[possible]), kind="stable")]
-        joined = set()
-        for j in possible:
-            label = root[low + j]
-            if label in joined:
-                continue
-            if _overlap(sets[i], sets[low + j]) >= least[j]:
-                joined.add(label)
-                out.append((nodes[low + j], nodes[i]))
+        joined: set[int] = set()
+        partners: list[int] = []
+        for j in pivots:
+            if j >= low and root[j] not in joined:
+                if _overlap(sets[i], sets[j]) >= pair_needed(int(sizes[i]), int(sizes[j]), percent):
+                    joined.add(int(root[j]))
+                    partners.append(j)
+                    break
+        # Only sets of other components can still add a link.
+        rest = low + np.flatnonzero(root[low:i] != next(iter(joined), -1))
+        if len(rest):
+            alone = np.bitwise_count(bitmaps[i] & ~bitmaps[rest]).sum(axis=1, dtype=np.int64)
+            other = np.bitwise_count(bitmaps[rest] & ~bitmaps[i]).sum(axis=1, dtype=np.int64)
+            bound = np.minimum(sizes[i] - alone, sizes[rest] - other)
+            least = pair_needed(sizes[i], sizes[rest], percent)
+            possible = np.flatnonzero(bound >= least)
+            possible = possible[np.argsort(-(bound[possible] - least[possible]), kind="stable")]
+            for k in possible:
+                j = int(rest[k])
+                if int(root[j]) in joined:
+                    continue
+                if _overlap(sets[i], sets[j]) >= least[k]:
+                    joined.add(int(root[j]))
+                    partners.append(j)
         if joined:
+            out += [(nodes[j], nodes[i]) for j in partners]
+            pivots = ([*partners, *[j for j in pivots if j not in partners]])[:PIVOTS]
             keep = min(joined)
             root[i] = keep
             if len(joined) > 1:

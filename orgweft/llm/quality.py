@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgweft.llm.stages import stored
+
 GAP = r"[ \t-\r]+"
 NOT_GAP = r"[^ \t-\r]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -172,8 +174,13 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, with all their columns."""
-    return ledger(docs).where(passes(policy)).select("row.*")
+    """The rows of ``docs`` that a policy keeps, with all their columns.
+
+    The ledger is written first: a condition on its bits would otherwise be pushed below the
+    measurements and evaluate them again inside each other.
+    """
+    rows = stored(ledger(docs).select("row", "failed_bits"), "ledger")
+    return rows.where(passes(policy)).select("row.*")
 
 
 def verdicts(docs: DataFrame, policy: str = CURRENT) -> DataFrame:

@@ -45,8 +45,8 @@ MASS = 8.0
 HEAD_SHARE = 4e-6
 END_HASH = int(w.mix(np.array([0x0A], dtype=np.uint64))[0])
 SYMBOLS = 256
-CHUNK_BYTES = 6 << 20
-HELD_STRINGS = 3_000_000
+CHUNK_BYTES = 2 << 20
+HELD_STRINGS = 2_000_000
 
 
 # --- strings of symbols ---------------------------------------------------------
