@@ -29,8 +29,6 @@ are ignored by ``components`` and carried by ``representatives``.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -243,16 +241,21 @@ def _linker(percent: int):
 
 def _tiles(members: DataFrame, percent: int, tile_shingles: int) -> DataFrame:
     """``node, tiles``: the tiles that each member of a candidate cluster goes to."""
-    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent)) + F.lit(1e-9))
+    tops = F.array(*[F.lit(int(top)) for top in bands(percent, 1 << 40)]).cast("array<bigint>")
+    band = F.size(F.filter(tops, lambda top: top < F.col("n"))).cast("bigint")
     weights = members.groupBy("cluster").agg(F.sum("n").alias("weight"), F.count("*").alias("size"))
     weights = weights.where("size > 1")
     placed = members.join(stored(weights, "clusters"), "cluster")
     small = placed.where(F.col("weight") <= tile_shingles).select(
         "node", F.struct("cluster", *[F.lit(0).cast("bigint").alias(c) for c in ("band", "i", "j")]).alias("tile")
     )
-    # A set goes to its band and, as the smaller partner, to the next.
-    large = placed.where(F.col("weight") > tile_shingles).select(
-        "cluster", "node", "n", F.explode(F.array(band, band + 1)).alias("band")
+    # A set goes to its band and, if a larger partner may lie there, to the next.
+    reach = F.floor(F.col("n") * 100 / percent) > F.get(tops, F.col("band").cast("int"))
+    large = (
+        placed.where(F.col("weight") > tile_shingles)
+        .withColumn("band", band)
+        .withColumn("band", F.explode(F.when(reach, F.array(F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))))
+        .select("cluster", "node", "n", "band")
     )
     load = large.groupBy("cluster", "band").agg(
         F.ceil(F.sum("n") / F.lit(tile_shingles)).alias("blocks")
@@ -313,7 +316,8 @@ def components(
     )
     tiles = stored(_tiles(members, percent, tile_shingles), "tiles")
     sets = (
-        rows.join(tiles.withColumnRenamed("node", "doc_id"), "doc_id")
+        # One plan at every size: the tiles grow with the corpus, so they are never broadcast.
+        rows.join(tiles.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
         .mapInArrow(
             _tile_sets(size),
             "node bigint, tiles array<struct<cluster:bigint,band:bigint,i:bigint,j:bigint>>, shingles array<bigint>",

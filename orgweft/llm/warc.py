@@ -38,6 +38,7 @@ SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
 ARCHIVE_BYTES = 16 << 20
 LEVEL = 3
+BROADCAST_NAMES = 100_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -268,7 +269,9 @@ def _records(rows: list[dict]) -> pa.RecordBatch:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records of the archives that the folder's index lists; a revisit has no payload."""
-    named = spark.read.parquet(f"{folder}/index").select("archive").distinct()
+    named = stored(spark.read.parquet(f"{folder}/index").select("archive").distinct(), "archives")
+    if named.count() <= BROADCAST_NAMES:
+        named = F.broadcast(named)  # else the archives are shuffled to meet their names
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.warc.zst")
