@@ -189,6 +189,11 @@ def _joined(spans, kinds: int):
     )
 
 
+def _of_kind(kind: int):
+    # A second argument of the lambda, even one with a default, would be the position.
+    return lambda s: s["kind"] == kind
+
+
 def report(docs: DataFrame, many_owners: int = MANY_OWNERS) -> DataFrame:
     """One row per document: counts per kind, digest of the fixed spans, all spans, and how
     many are live and how many are shared examples.
@@ -202,7 +207,7 @@ def report(docs: DataFrame, many_owners: int = MANY_OWNERS) -> DataFrame:
     n = lambda test: F.size(F.filter("s", test)).cast("long")
     return full.select(
         "doc_id",
-        *[n(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        *[n(_of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(_joined("s", 3).cast("binary"), 256).alias("base_sha256"),
         _joined("s", 4).alias("spans"),
         n(lambda s: s["live"]).alias("n_live"),
