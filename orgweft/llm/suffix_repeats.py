@@ -92,7 +92,7 @@ def _frequent_prefixes(min_words: int, groups: int):
             for _, _, block in w.blocks(batch.column("text"), lower=False):
                 starts, _ = w.within(block.first, min_words)
                 windows += len(starts)
-                for size in (*PREFIXES, min_words):
+                for size in (*(p for p in PREFIXES if p < min_words), min_words):
                     found.setdefault(size, []).append(w.shingles(block.hashes, size)[starts])
             for size, hashes in found.items():
                 value, count = np.unique(np.concatenate(hashes), return_counts=True)
