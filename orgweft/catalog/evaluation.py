@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgweft.catalog.graphs import recent_graph
-from orgweft.catalog.lenses import recent_faultlines
+from orgweft.catalog.graphs import talk_graph
+from orgweft.catalog.lenses import talk_faultlines
 from orgweft.catalog.registry import query
 from orgweft.catalog.reviews import _MODS, questions
 from orgweft.catalog.views import Views
@@ -26,7 +26,7 @@ from orgweft.plans.corpus import leader_talk, synthetic_events, synthetic_people
 )
 def precision_recall(v: Views) -> DataFrame:
     """Module pairs of faultlines against the heavy declared dependencies."""
-    found = recent_faultlines(v).select(F.col("source_module_key").alias("a"), F.col("target_module_key").alias("b"))
+    found = talk_faultlines(v).select(F.col("source_module_key").alias("a"), F.col("target_module_key").alias("b"))
     planted = v.dependencies.where("meta.weight >= 5").select(
         F.get("subjects", F.lit(0)).alias("a"), F.get("subjects", F.lit(1)).alias("b")
     )
@@ -44,7 +44,7 @@ def precision_recall(v: Views) -> DataFrame:
 )
 def topk_overlap(v: Views) -> DataFrame:
     """How well degree and rank stand in for betweenness."""
-    scores = L.ghost_scores(v.people_nodes, v.recent_talk)
+    scores = L.ghost_scores(v.people_nodes, v.chat_edges)
     by_degree = global_row_number(
         scores.select("person_key", "communication_degree"),
         [F.desc("communication_degree"), F.asc("person_key")],
@@ -72,7 +72,7 @@ def topk_overlap(v: Views) -> DataFrame:
 def max_len_sweep(v: Views) -> DataFrame:
     from orgweft.operators.graph import length_sweep
 
-    return length_sweep(recent_graph(v), range(2, 7), 10)
+    return length_sweep(talk_graph(v), range(2, 7), 10)
 
 
 @query(
@@ -87,13 +87,13 @@ def max_len_sweep(v: Views) -> DataFrame:
        UNION ALL SELECT 'node_label', 'Module', (SELECT count(*) FROM brands) + (SELECT count(*) FROM types)
        UNION ALL SELECT 'node_label', 'Artifact', count(*) FROM artifacts
        UNION ALL SELECT 'node_label', 'Phantom', count(*) FROM gapfind
-       UNION ALL SELECT 'edge_type', 'COMMUNICATES', count(*) FROM recent
+       UNION ALL SELECT 'edge_type', 'COMMUNICATES', count(*) FROM chat_edges
        UNION ALL SELECT 'edge_type', 'OWNS', count(*) FROM owns
        UNION ALL SELECT 'edge_type', 'DEPENDS_ON', count(*) FROM depends""",
 )
 def corpus_summary(v: Views) -> DataFrame:
     counts = E.corpus_counts(
-        v.recent, L.gap_findings(v.bundle.nodes, v.bundle.edges), recent_faultlines(v)
+        v.coordination, L.gap_findings(v.bundle.nodes, v.bundle.edges), talk_faultlines(v)
     )
     return counts.where("measure <> 'edge_type' OR value IN ('COMMUNICATES', 'OWNS', 'DEPENDS_ON')")
 
@@ -103,8 +103,8 @@ def robustness(v: Views) -> DataFrame:
     """The ranking with and without unresolved people."""
     from dataclasses import replace
 
-    bundle = replace(v.recent, nodes=v.people_nodes, edges=v.recent_talk)
-    return E.resolved_robustness(bundle, L.ghost_scores(v.people_nodes, v.recent_talk))
+    bundle = replace(v.coordination, nodes=v.people_nodes, edges=v.chat_edges)
+    return E.resolved_robustness(bundle, L.ghost_scores(v.people_nodes, v.chat_edges))
 
 
 @query(
@@ -168,8 +168,8 @@ def sealed_labels(v: Views) -> DataFrame:
     nobody = v.people.select(F.lit(None).cast("string").alias("candidate_id"))
     found = E.sealed_predictions(
         v.bundle,
-        L.ghost_scores(v.people_nodes, v.recent_talk),
-        recent_faultlines(v),
+        L.ghost_scores(v.people_nodes, v.chat_edges),
+        talk_faultlines(v),
         L.gap_findings(v.bundle.nodes, v.bundle.edges),
         nobody,
         "module:brand-2",

@@ -11,8 +11,8 @@ from orgweft.operators import graph as G
 from orgweft.operators import lenses as L
 
 
-def recent_graph(v: Views) -> G.Graph:
-    return G.communication_graph(v.people_nodes, v.recent_talk)
+def talk_graph(v: Views) -> G.Graph:
+    return G.communication_graph(v.people_nodes, v.chat_edges)
 
 
 def reporting_pairs(v: Views) -> DataFrame:
@@ -26,7 +26,7 @@ def reporting_pairs(v: Views) -> DataFrame:
 
 @query("communication_graph", "SELECT src, dst FROM arcs")
 def communication_arcs(v: Views) -> DataFrame:
-    return recent_graph(v).arcs.select("src", "dst")
+    return talk_graph(v).arcs.select("src", "dst")
 
 
 @query("directed_graph", "SELECT a AS source_key, b AS target_key, weight FROM comm_edges")
@@ -62,7 +62,7 @@ def asymmetry(v: Views) -> DataFrame:
 
 @query("betweenness_exact", "SELECT v, round(c, 6) AS centrality FROM exact")
 def betweenness_exact(v: Views) -> DataFrame:
-    return G.betweenness_exact(recent_graph(v)).select("v", F.round("centrality", 6).alias("centrality"))
+    return G.betweenness_exact(talk_graph(v)).select("v", F.round("centrality", 6).alias("centrality"))
 
 
 @query(
@@ -78,14 +78,14 @@ def betweenness_exact(v: Views) -> DataFrame:
 )
 def betweenness_bounded(v: Views) -> DataFrame:
     sources = G.resolved_people(v.people_nodes).select(F.lit("").alias("g"), F.col("canonical_key").alias("s"))
-    scores = G.betweenness_bounded(recent_graph(v), sources, 4)
+    scores = G.betweenness_bounded(talk_graph(v), sources, 4)
     return scores.select("v", F.round("centrality", 6).alias("centrality"))
 
 
 @query("betweenness_sampled")
 def betweenness_sampled(v: Views) -> DataFrame:
     """Seeded pair sample; its generator has no SQL counterpart."""
-    return G.betweenness_sampled(recent_graph(v), 11, 2000)
+    return G.betweenness_sampled(talk_graph(v), 11, 2000)
 
 
 @query(
@@ -93,7 +93,7 @@ def betweenness_sampled(v: Views) -> DataFrame:
     """SELECT count(*) AS n FROM (SELECT x.v, y.v FROM verts x JOIN verts y ON x.v < y.v LIMIT 2000)""",
 )
 def pair_sample(v: Views) -> DataFrame:
-    pairs = G.sampled_pairs(recent_graph(v), 29, 2000)
+    pairs = G.sampled_pairs(talk_graph(v), 29, 2000)
     return pairs.where("a <> b").select(F.least("a", "b"), F.greatest("a", "b")).distinct().agg(F.count("*").alias("n"))
 
 
@@ -104,7 +104,22 @@ def pair_sample(v: Views) -> DataFrame:
               degree AS communication_degree FROM scores""",
 )
 def ghost(v: Views) -> DataFrame:
-    scores = L.ghost_scores(v.people_nodes, v.recent_talk).drop("centrality_method")
+    scores = L.ghost_scores(v.people_nodes, v.chat_edges).drop("centrality_method")
+    return scores.withColumn("sampled_centrality", F.round("sampled_centrality", 6))
+
+
+@query(
+    "ghost_bounded",
+    """WITH r AS (SELECT p.key, p.name, p.rank, c, coalesce(degree, 0) AS degree,
+                    row_number() OVER (ORDER BY c DESC, p.key) AS structural,
+                    row_number() OVER (ORDER BY p.rank DESC, p.key) AS formal
+             FROM resolved p JOIN bounded e ON e.v = p.key LEFT JOIN degree d ON d.v = p.key)
+       SELECT key AS person_key, name AS display_name, rank AS role_rank, structural AS structural_rank,
+              formal AS formal_rank, formal - structural AS rank_gap, round(c, 6) AS sampled_centrality,
+              degree AS communication_degree FROM r""",
+)
+def ghost_bounded(v: Views) -> DataFrame:
+    scores = L.ghost_scores(v.people_nodes, v.chat_edges, method="bounded").drop("centrality_method")
     return scores.withColumn("sampled_centrality", F.round("sampled_centrality", 6))
 
 
@@ -118,7 +133,7 @@ def distances(v: Views) -> DataFrame:
     pairs = L.owner_pairs(v.bundle.edges, owners).select(
         F.col("source_owner_key").alias("a"), F.col("target_owner_key").alias("b")
     )
-    return G.pair_distances(recent_graph(v), pairs, 4)
+    return G.pair_distances(talk_graph(v), pairs, 4)
 
 
 @query(
@@ -127,7 +142,7 @@ def distances(v: Views) -> DataFrame:
        LEFT JOIN allpaths p ON p.s = a AND p.v = b GROUP BY a, b""",
 )
 def bridge(v: Views) -> DataFrame:
-    found = G.first_bridges(recent_graph(v), reporting_pairs(v))
+    found = G.first_bridges(talk_graph(v), reporting_pairs(v))
     return found.select("a", "b", F.array_join("path", ">").alias("path"))
 
 
@@ -136,13 +151,13 @@ def bridge(v: Views) -> DataFrame:
     "SELECT a, b, array_to_string(path, '>') AS path FROM reporting JOIN allpaths p ON p.s = a AND p.v = b",
 )
 def all_paths(v: Views) -> DataFrame:
-    found = G.all_shortest_paths(recent_graph(v), reporting_pairs(v), 4)
+    found = G.all_shortest_paths(talk_graph(v), reporting_pairs(v), 4)
     return found.select("a", "b", F.array_join("path", ">").alias("path"))
 
 
 @query("reachable_pairs", "SELECT count(*) AS pairs FROM dist WHERE s < v AND d <= 4")
 def reachable_pairs(v: Views) -> DataFrame:
-    return G.reachable_pairs(recent_graph(v), 4).select("pairs")
+    return G.reachable_pairs(talk_graph(v), 4).select("pairs")
 
 
 @query(
@@ -154,7 +169,7 @@ def reachable_pairs(v: Views) -> DataFrame:
        SELECT 'person:s7' AS person_key, x.n AS reachable_pairs_before, x.n - y.n AS pairs_lost_without_person, 4 AS max_len FROM x, y""",
 )
 def bus_factor(v: Views) -> DataFrame:
-    return L.bus_factor(recent_graph(v), "person:s7")
+    return L.bus_factor(talk_graph(v), "person:s7")
 
 
 @query(
@@ -166,7 +181,7 @@ def bus_factor(v: Views) -> DataFrame:
        FROM scores LEFT JOIN r ON g = key, n4 WHERE structural <= 10""",
 )
 def removal_top10(v: Views) -> DataFrame:
-    found = L.ghost_findings(v.people_nodes, v.recent_talk).where("pairs_lost_without_person IS NOT NULL")
+    found = L.ghost_findings(v.people_nodes, v.chat_edges).where("pairs_lost_without_person IS NOT NULL")
     return found.select("person_key", "structural_rank", "reachable_pairs_before", "pairs_lost_without_person")
 
 
@@ -182,11 +197,11 @@ def removal_top10(v: Views) -> DataFrame:
 )
 def what_if(v: Views) -> DataFrame:
     """Take all people of the highest rank out."""
-    bundle = v.recent
+    bundle = v.coordination
     people = v.people_nodes.where("props.role_rank = 6").select(F.col("canonical_key").alias("person_key"))
     from dataclasses import replace
 
-    return L.what_if(replace(bundle, nodes=v.people_nodes, edges=v.recent_talk), people)
+    return L.what_if(replace(bundle, nodes=v.people_nodes, edges=v.chat_edges), people)
 
 
 @query(
@@ -205,7 +220,7 @@ def even_sample(v: Views) -> DataFrame:
 @query("sampled_graph")
 def sampled_graph(v: Views) -> DataFrame:
     """Scores on the graph of shortest paths between evenly spaced people."""
-    return L.sampled_ghosts(v.people_nodes, v.recent_talk, [F.col("id")], sample=40)
+    return L.sampled_ghosts(v.people_nodes, v.chat_edges, [F.col("id")], sample=40)
 
 
 @query(
@@ -244,13 +259,13 @@ def graph_counts(v: Views) -> DataFrame:
        FROM (SELECT *, 'Nation ' || substr(team, 8) AS x FROM resolved) p JOIN scores s ON s.key = p.key""",
 )
 def graph_view(v: Views) -> DataFrame:
-    return L.graph_nodes(v.people_nodes, L.ghost_scores(v.people_nodes, v.recent_talk))
+    return L.graph_nodes(v.people_nodes, L.ghost_scores(v.people_nodes, v.chat_edges))
 
 
 @query(
     "graph_view_edges",
     """SELECT a AS source, b AS target, CASE WHEN weight >= 5 THEN 'strong' WHEN weight >= 3 THEN 'medium' ELSE 'weak' END AS strength
-       FROM recent WHERE a IN (SELECT key FROM resolved) AND b IN (SELECT key FROM resolved)""",
+       FROM chat_edges WHERE a IN (SELECT key FROM resolved) AND b IN (SELECT key FROM resolved)""",
 )
 def graph_view_edges(v: Views) -> DataFrame:
-    return L.graph_edges(v.people_nodes, v.recent_talk)
+    return L.graph_edges(v.people_nodes, v.chat_edges)

@@ -15,8 +15,8 @@ def effective_owners(v: Views) -> DataFrame:
     return L.effective_owners(v.bundle.edges, v.bundle.evidence)
 
 
-def recent_faultlines(v: Views) -> DataFrame:
-    return L.faultlines(v.people_nodes, v.recent.edges, v.bundle.evidence)
+def talk_faultlines(v: Views) -> DataFrame:
+    return L.faultlines(v.people_nodes, v.coordination.edges, v.bundle.evidence)
 
 
 @query(
@@ -26,7 +26,7 @@ def recent_faultlines(v: Views) -> DataFrame:
               distance AS communication_distance, tier, CAST(severity AS DOUBLE) AS severity FROM faults""",
 )
 def faultlines(v: Views) -> DataFrame:
-    return recent_faultlines(v)
+    return talk_faultlines(v)
 
 
 @query(
@@ -36,7 +36,7 @@ def faultlines(v: Views) -> DataFrame:
        SELECT count(*) AS round_trips, count(CASE WHEN a <> b AND d IS NULL THEN 1 END) AS open_faultline_pairs FROM x""",
 )
 def naive_faultlines(v: Views) -> DataFrame:
-    return L.naive_faultlines(v.people_nodes, v.recent.edges)
+    return L.naive_faultlines(v.people_nodes, v.coordination.edges)
 
 
 @query(
@@ -135,5 +135,5 @@ def evidence_enrich(v: Views) -> DataFrame:
 @query("faultline_evidence")
 def faultline_evidence(v: Views) -> DataFrame:
     """First four evidence rows per faultline: dependency, then both owners' claims."""
-    cited = L.cite_faultlines(recent_faultlines(v), v.bundle.edges, v.bundle.edge_evidence)
+    cited = L.cite_faultlines(talk_faultlines(v), v.bundle.edges, v.bundle.edge_evidence)
     return L.first_evidence(cited, v.bundle.evidence)

@@ -52,7 +52,19 @@ VIEWS: dict[str, str] = {
     "recent": """
         SELECT * FROM comm_edges
         WHERE last_epoch >= (SELECT max(last_epoch) FROM comm_edges) - 7 * 86400""",
-    "arcs": "SELECT a AS src, b AS dst FROM recent UNION SELECT b, a FROM recent",
+    # Who talks to whom in the conversations; a mention of the answered author is the reply.
+    "chat_comm": """
+        SELECT c.author AS a, p.author AS b, c.t FROM chat c JOIN chat p ON p.id = c.parent WHERE p.author <> c.author
+        UNION ALL
+        SELECT a, m, t FROM (
+            SELECT DISTINCT c.id, c.t, c.author AS a, p.author AS answered,
+                   unnest(regexp_extract_all(c.text, '<@([^>|]+)', 1)) AS m
+            FROM chat c LEFT JOIN chat p ON p.id = c.parent)
+        WHERE m <> a AND m <> coalesce(answered, '')""",
+    "chat_edges": """
+        SELECT 'person:' || a AS a, 'person:' || b AS b, count(*) AS weight, max(t) AS last_epoch
+        FROM chat_comm GROUP BY a, b""",
+    "arcs": "SELECT a AS src, b AS dst FROM chat_edges UNION SELECT b, a FROM chat_edges",
     "verts": "SELECT key AS v FROM resolved UNION SELECT src FROM arcs",
     # Shortest distances by walks of growing length, kept distinct.
     "walks": """
@@ -76,6 +88,15 @@ VIEWS: dict[str, str] = {
         SELECT verts.v, round(coalesce(tally, 0) /
                ((SELECT count(*) FROM verts) - 1) / ((SELECT count(*) FROM verts) - 2), 12) AS c
         FROM verts LEFT JOIN between ON between.v = verts.v""",
+    "bounded": """
+        SELECT verts.v, round(coalesce(tally, 0) / 2 / greatest(pairs, 1), 12) AS c
+        FROM verts LEFT JOIN (
+            SELECT x.v, sum(x.sigma * y.sigma / z.sigma) AS tally
+            FROM sig z JOIN sig x ON x.s = z.s JOIN sig y ON y.s = x.v AND y.v = z.v
+            WHERE z.s <> z.v AND x.v <> z.s AND x.v <> z.v AND x.d + y.d = z.d AND z.d <= 4
+                  AND z.s IN (SELECT key FROM resolved) GROUP BY x.v) t ON t.v = verts.v,
+            (SELECT count(*) AS pairs FROM (SELECT DISTINCT least(s, v), greatest(s, v) FROM dist
+             WHERE d BETWEEN 1 AND 4 AND s IN (SELECT key FROM resolved)))""",
     "degree": "SELECT src AS v, count(*) AS degree FROM arcs GROUP BY src",
     "scores": """
         SELECT p.key, p.name, p.rank, c, coalesce(degree, 0) AS degree,

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgweft.catalog.lenses import recent_faultlines
+from orgweft.catalog.lenses import talk_faultlines
 from orgweft.catalog.registry import query
 from orgweft.catalog.views import DATASET, Views
 from orgweft.operators import inbox as B
@@ -212,7 +212,7 @@ _PROPOSED = """line5 AS (SELECT * FROM faults ORDER BY severity DESC, sm, tm, k,
 
 
 def proposals(v: Views) -> DataFrame:
-    return R.propose_repairs(L.gap_findings(v.bundle.nodes, v.bundle.edges), recent_faultlines(v))
+    return R.propose_repairs(L.gap_findings(v.bundle.nodes, v.bundle.edges), talk_faultlines(v))
 
 
 @query("repair_proposals", f"WITH {_PROPOSED} SELECT repair_id, finding_kind, finding_key, repair_kind, verdict FROM prop")
@@ -231,7 +231,7 @@ def repair_verify(v: Views) -> DataFrame:
     approved = proposed.where(
         "repair_kind = 'establish_owner_bridge' OR finding_key LIKE 'artifact:approval-%'"
     )
-    repaired = R.apply_repairs(v.recent, approved)
+    repaired = R.apply_repairs(v.coordination, approved)
     return R.verify_repairs(proposed, R.open_findings(repaired)).select("repair_id", "closed")
 
 
@@ -263,8 +263,8 @@ def repair_ledger(v: Views) -> DataFrame:
 
 
 def risks(v: Views) -> DataFrame:
-    scores = L.ghost_scores(v.people_nodes, v.recent_talk)
-    return B.risk_inbox(scores, recent_faultlines(v), L.gap_findings(v.bundle.nodes, v.bundle.edges))
+    scores = L.ghost_scores(v.people_nodes, v.chat_edges)
+    return B.risk_inbox(scores, talk_faultlines(v), L.gap_findings(v.bundle.nodes, v.bundle.edges))
 
 
 @query("risk_inbox", "SELECT risk_key, priority, kind, team, confidence, source_key, target_key FROM risks")
@@ -286,12 +286,12 @@ def inbox_filter(v: Views) -> DataFrame:
     "top_nodes",
     """WITH nd AS (SELECT key, CAST(greatest(20, least(82, round_even(20 + c * 250 + degree * 3, 0))) AS BIGINT) AS size FROM scores
                    ORDER BY size DESC, key LIMIT 520)
-       SELECT key AS node_key, size AS actual_size, (SELECT count(*) FROM recent WHERE a IN (SELECT key FROM nd) AND b IN (SELECT key FROM nd)) AS edges
+       SELECT key AS node_key, size AS actual_size, (SELECT count(*) FROM chat_edges WHERE a IN (SELECT key FROM nd) AND b IN (SELECT key FROM nd)) AS edges
        FROM nd""",
 )
 def top_nodes(v: Views) -> DataFrame:
-    nodes = L.graph_nodes(v.people_nodes, L.ghost_scores(v.people_nodes, v.recent_talk))
-    shown, among = B.largest_nodes(nodes, L.graph_edges(v.people_nodes, v.recent_talk))
+    nodes = L.graph_nodes(v.people_nodes, L.ghost_scores(v.people_nodes, v.chat_edges))
+    shown, among = B.largest_nodes(nodes, L.graph_edges(v.people_nodes, v.chat_edges))
     return shown.select("node_key", "actual_size", among.select(F.count("*")).scalar().alias("edges"))
 
 
@@ -304,7 +304,7 @@ def top_nodes(v: Views) -> DataFrame:
        FROM scores s LEFT JOIN l ON l.node = s.key WHERE lower(s.name) LIKE '%supplier#00000000%'""",
 )
 def node_risk(v: Views) -> DataFrame:
-    nodes = L.graph_nodes(v.people_nodes, L.ghost_scores(v.people_nodes, v.recent_talk))
+    nodes = L.graph_nodes(v.people_nodes, L.ghost_scores(v.people_nodes, v.chat_edges))
     return B.node_risks(nodes, risks(v), search=" Supplier#00000000 ").select("node_key", "role")
 
 
@@ -335,4 +335,4 @@ def load_batches(v: Views) -> DataFrame:
 
 @query("risk_report")
 def report(v: Views) -> DataFrame:
-    return risk_report(replace(v.recent, dataset_id=DATASET), "bench:snapshot")
+    return risk_report(replace(v.coordination, dataset_id=DATASET), "bench:snapshot")

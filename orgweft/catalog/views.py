@@ -405,7 +405,7 @@ class Views:
 
     @cached_property
     def thread_records(self) -> DataFrame:
-        """The messages themselves; who talks to whom comes from the order lines."""
+        """The messages themselves; ``chat_talk`` has who talks to whom."""
         return slack_records(self.slack_rows).where("kind = 'artifact'")
 
     @cached_property
@@ -420,9 +420,23 @@ class Views:
         return C.evidence_of(C.deduplicate(union_all(*records)), DATASET)
 
     @cached_property
-    def recent(self) -> Bundle:
-        """The bundle with the communication of its last week."""
-        return self.bundle.with_edges(communication_window(self.bundle.edges, WINDOW_DAYS))
+    def chat_talk(self) -> DataFrame:
+        """Every reply and mention of the conversations. Mentioning the author one replies to
+        is that reply.
+        """
+        answered = F.array(F.coalesce("parent_author_id", F.lit("")))
+        rows = self.slack_rows.withColumn("mentions", F.array_except("mentions", answered))
+        return slack_records(rows).where("kind = 'communication_aggregate'")
+
+    @cached_property
+    def chat_edges(self) -> DataFrame:
+        return stored(D.communicates(self.evidence_of(self.chat_talk), DATASET)[0], "chat")
+
+    @cached_property
+    def coordination(self) -> Bundle:
+        """The bundle with the talk of the conversations as its communication."""
+        others = self.bundle.edges.where("rel_type <> 'COMMUNICATES'")
+        return self.bundle.with_edges(others.unionByName(self.chat_edges))
 
     @cached_property
     def talk_edges(self) -> DataFrame:

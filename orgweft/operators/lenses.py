@@ -14,7 +14,6 @@ from orgweft.operators.normalize import union_all
 from orgweft.session import durable, scalar
 
 # Fixed values of the lens rules.
-EXACT_CENTRALITY_MAX_PEOPLE = 2_000
 WEAK_DISTANCE = 3
 TIER_RISK = {"no_path": 1.0, "weak_coordination": 0.5, "coordinated": 0.0}
 IMPACT_PEOPLE = 10
@@ -124,23 +123,34 @@ def asymmetries(
 
 
 def ghost_scores(
-    nodes: DataFrame, edges: DataFrame, *, max_len: int = 4, graph: G.Graph | None = None
+    nodes: DataFrame,
+    edges: DataFrame,
+    *,
+    max_len: int = 4,
+    graph: G.Graph | None = None,
+    method: str = "exact",
 ) -> DataFrame:
-    """Structural rank by betweenness against formal rank by role, per resolved person."""
+    """Structural rank by betweenness against formal rank by role, per resolved person.
+
+    ``method`` is the caller's: "exact" is quadratic in the people, "bounded" counts paths of at
+    most ``max_len`` hops. The number of people never changes it.
+    """
+    if method not in ("exact", "bounded"):
+        raise ValueError("method must be exact or bounded")
     people = G.resolved_people(nodes).select(
         F.col("canonical_key").alias("person_key"),
         lens_name().alias("display_name"),
         F.coalesce("props.role_rank", F.lit(0)).alias("role_rank"),
     )
     walked = graph or G.communication_graph(nodes, edges)
-    if people.count() < EXACT_CENTRALITY_MAX_PEOPLE:
+    if method == "exact":
         centrality = G.betweenness_exact(walked)
-        method = "exact_undirected"
+        label = "exact_undirected"
     else:
         sources = people.select(F.lit("").alias("g"), F.col("person_key").alias("s"))
         centrality = G.betweenness_bounded(walked, sources, max_len)
-        method = f"bounded_undirected_brandes_max_len_{max_len}"
-    return rank_people(people, centrality, degrees(edges), method)
+        label = f"bounded_undirected_brandes_max_len_{max_len}"
+    return rank_people(people, centrality, degrees(edges), label)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -217,11 +227,18 @@ def bus_factor(graph: G.Graph, person_key: str, max_len: int = 4) -> DataFrame:
     )
 
 
-def ghost_findings(nodes: DataFrame, edges: DataFrame, *, max_len: int = 4) -> DataFrame:
-    """Scores of all people; the first ten with the effect of taking them out."""
+def ghost_findings(
+    nodes: DataFrame,
+    edges: DataFrame,
+    *,
+    max_len: int = 4,
+    method: str = "exact",
+    impact_people: int = IMPACT_PEOPLE,
+) -> DataFrame:
+    """Scores of all people; the first ``impact_people`` with the effect of taking them out."""
     graph = G.communication_graph(nodes, edges)
-    scores = ghost_scores(nodes, edges, max_len=max_len, graph=graph)
-    impact = removal_impact(graph, scores.where(F.col("structural_rank") <= IMPACT_PEOPLE), max_len)
+    scores = ghost_scores(nodes, edges, max_len=max_len, graph=graph, method=method)
+    impact = removal_impact(graph, scores.where(F.col("structural_rank") <= impact_people), max_len)
     return scores.join(impact.drop("max_len"), "person_key", "left")
 
 

@@ -269,7 +269,7 @@ def dependency_records(rows: DataFrame) -> DataFrame:
         ),
         source=F.lit("git"),
         external_id=F.concat(
-            F.lit("git:"), F.col("external_id"), F.lit(":dependency:"), F.col("target")
+            F.lit("git:"), F.col("external_id"), F.lit(":dependency:"), left_key, F.lit(":"), right_key
         ),
         kind=F.lit("dependency"),
         occurred_at_epoch=F.col("occurred_at_epoch"),

@@ -88,20 +88,22 @@ def read_mailbox(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Decoded messages of ``paths``; large files are read by several tasks.
 
     A message without an id is named by its file and its number in the file. The number
-    is its place in the file block plus the messages of the blocks before.
+    is its place in the file block plus the messages of the blocks before. Files of one name
+    in several folders are told apart by their paths.
     """
     text = spark.read.option("lineSep", "\nFrom ").text(paths).select(
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_name").alias("name"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").cast("binary").alias("raw"),
     ).where(F.length("raw") > 0)
-    decoded = text.mapInPandas(_decode, MESSAGE)
-    sizes = text.groupBy("file", "block").agg(F.count("*").alias("n"))
+    decoded = text.drop("name").mapInPandas(_decode, MESSAGE)
+    sizes = text.groupBy("file", "name", "block").agg(F.count("*").alias("n"))
     earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(
-        "file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")
+        "file", "name", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")
     )
-    fallback = F.concat_ws(":", "file", (F.col("start") + F.col("place")).cast("string"))
+    fallback = F.concat_ws(":", "name", (F.col("start") + F.col("place")).cast("string"))
     return decoded.join(starts, ["file", "block"]).withColumn(
         "message_id", F.coalesce("message_id", fallback)
     )

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from orgweft.operators import canonicalize as C
 from orgweft.operators import normalize as N
 from orgweft.sources import chat, commits, mail, records, tickets, workspace
 
@@ -92,6 +93,29 @@ def test_mailbox(spark, tmp_path):
     assert two["to_ids"] == [] and two["occurred_at_epoch"] == 1704103200
 
 
+def test_mailboxes_of_one_name(spark, tmp_path):
+    mail_of = "From x\nFrom: {}@x.org\nTo: {}@y.org, list@z.org\nDate: Mon, 01 Jan 2024 08:00:00 +0000\n\nhi\n"
+    for folder, one, two in (("a", "ann", "bob"), ("b", "cid", "dan")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "2025-01.mbox").write_text(mail_of.format(one, two))
+    listed = spark.createDataFrame([("list@z.org",)], "address STRING")
+    paths = [str(tmp_path / folder / "2025-01.mbox") for folder in "ab"]
+    found = mail.mbox_rows(spark, paths, ignore_addresses=listed).collect()
+    assert sorted((r["from_id"], r["to_ids"]) for r in found) == [
+        ("ann@x.org", ["bob@y.org"]),
+        ("cid@x.org", ["dan@y.org"]),
+    ]
+
+
+def test_dependencies_of_several_modules_keep_apart(spark):
+    commit = spark.createDataFrame(
+        [("s", 5, "ann", "m", ["a", "b"], ["z"])],
+        "sha STRING, occurred_at_epoch BIGINT, author_id STRING, message STRING, module_keys ARRAY<STRING>, dependency_keys ARRAY<STRING>",
+    )
+    kept = C.deduplicate(N.dependency_records(commit)).collect()
+    assert sorted(r["subjects"] for r in kept) == [["module:a", "module:z"], ["module:b", "module:z"]]
+
+
 def test_jira_csv(spark, tmp_path):
     path = tmp_path / "j.csv"
     path.write_text(
