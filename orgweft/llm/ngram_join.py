@@ -145,20 +145,6 @@ def _keyed(size: int, percent: int):
     return run
 
 
-def _tile_sets(size: int):
-    def run(batches):
-        for batch in batches:
-            sets = list(_sets(batch.column("text"), size))
-            offsets = np.concatenate(([0], np.cumsum([len(own) for own in sets])))
-            values = w.signed(np.concatenate(sets)) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tiles"), w.list_array(values, offsets)],
-                names=["node", "tiles", "shingles"],
-            )
-
-    return run
-
-
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     """One bitmap of ``64 * SIGNATURE_WORDS`` bits per set."""
     width = 64 * SIGNATURE_WORDS
@@ -222,12 +208,11 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
     return out
 
 
-def _linker(percent: int):
+def _linker(size: int, percent: int):
+    """Links of a tile. Its texts come as text, which takes less room on the way than sets."""
+
     def run(table: pa.Table) -> pa.Table:
-        column = table.column("shingles").combine_chunks()
-        flat = column.values.to_numpy().view(np.uint64)
-        offsets = column.offsets.to_numpy()
-        sets = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        sets = [own for part in table.column("text").chunks for own in _sets(part, size)]
         links = tile_links(table.column("node").to_numpy(), sets, percent)
         return pa.table(
             {
@@ -315,18 +300,12 @@ def components(
         classes.select("d1", "node", "n"), "d1"
     )
     tiles = stored(_tiles(members, percent, tile_shingles), "tiles")
-    sets = (
-        # One plan at every size: the tiles grow with the corpus, so they are never broadcast.
-        rows.join(tiles.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
-        .mapInArrow(
-            _tile_sets(size),
-            "node bigint, tiles array<struct<cluster:bigint,band:bigint,i:bigint,j:bigint>>, shingles array<bigint>",
-        )
-        .select("node", "shingles", F.explode("tiles").alias("tile"))
+    # One plan at every size: the tiles grow with the corpus, so they are never broadcast.
+    members = rows.join(tiles.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select(
+        F.explode("tiles").alias("tile"), F.col("doc_id").alias("node"), "text"
     )
     links = stored(
-        sets.select("tile", "node", "shingles").groupBy("tile").applyInArrow(_linker(percent), "a bigint, b bigint"),
-        "links",
+        members.groupBy("tile").applyInArrow(_linker(size, percent), "a bigint, b bigint"), "links"
     ).distinct()
     linked = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
     joined = stored(connected_components(stored(linked, "linked"), stored(links, "forest")), "components")
