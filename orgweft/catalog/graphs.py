@@ -133,7 +133,7 @@ def distances(v: Views) -> DataFrame:
     pairs = L.owner_pairs(v.bundle.edges, owners).select(
         F.col("source_owner_key").alias("a"), F.col("target_owner_key").alias("b")
     )
-    return G.pair_distances(talk_graph(v), pairs, 4)
+    return G.pair_distances(G.communication_graph(v.people_nodes, v.answers.edges), pairs, 4)
 
 
 @query(

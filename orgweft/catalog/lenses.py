@@ -16,7 +16,7 @@ def effective_owners(v: Views) -> DataFrame:
 
 
 def talk_faultlines(v: Views) -> DataFrame:
-    return L.faultlines(v.people_nodes, v.coordination.edges, v.bundle.evidence)
+    return L.faultlines(v.people_nodes, v.answers.edges, v.bundle.evidence)
 
 
 @query(

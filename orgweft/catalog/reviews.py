@@ -231,7 +231,7 @@ def repair_verify(v: Views) -> DataFrame:
     approved = proposed.where(
         "repair_kind = 'establish_owner_bridge' OR finding_key LIKE 'artifact:approval-%'"
     )
-    repaired = R.apply_repairs(v.coordination, approved)
+    repaired = R.apply_repairs(v.answers, approved)
     return R.verify_repairs(proposed, R.open_findings(repaired)).select("repair_id", "closed")
 
 

@@ -438,6 +438,12 @@ class Views:
         others = self.bundle.edges.where("rel_type <> 'COMMUNICATES'")
         return self.bundle.with_edges(others.unionByName(self.chat_edges))
 
+    @cached_property
+    def answers(self) -> Bundle:
+        """The bundle with all replies as its communication: faultlines ask for paths of answers."""
+        talk = (F.col("rel_type") != "COMMUNICATES") | (F.col("props.reply_weight") > 0)
+        return self.coordination.with_edges(self.coordination.edges.where(talk))
+
     @cached_property
     def talk_edges(self) -> DataFrame:
         return stored(D.communicates(self.evidence_of(self.talk), DATASET)[0], "talk")
