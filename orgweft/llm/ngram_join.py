@@ -39,7 +39,9 @@ from orgweft.operators.graph import connected_components
 from orgweft.llm.stages import stored
 
 BAND_RATIO = 1.6
-SIGNATURE_WORDS = 16
+#: A bitmap has twice as many bits as the tile's mean set has shingles, 1024 at least; narrower ones
+#: would be full for large sets and bound nothing.
+LEAST_BITS = 1024
 TILE_SHINGLES = 12_000_000
 PIVOTS = 6
 
@@ -146,8 +148,9 @@ def _keyed(size: int, percent: int):
 
 
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One bitmap of ``64 * SIGNATURE_WORDS`` bits per set."""
-    width = 64 * SIGNATURE_WORDS
+    """One bitmap per set, all of one width."""
+    mean = sum(map(len, sets)) // max(1, len(sets))
+    width = max(LEAST_BITS, 1 << (2 * mean).bit_length())
     out = np.zeros((len(sets), width), dtype=bool)
     for i, own in enumerate(sets):
         out[i, (own % np.uint64(width)).astype(np.int64)] = True
