@@ -5,13 +5,15 @@ join loses no link between different sets, and never lists the pairs of a group:
 
 1. Documents with equal sets form classes; only one set per class goes on.
 2. Sizes fall into bands, and a pair belongs to the band of its larger set. Two sets that link
-   differ in at most ``D`` shingles, which follows from the band. Each set is dealt, by hash, into
-   more than ``D`` parts; so one part at least holds the same shingles in both, and the hash of
-   a part's whole content is a key they share. Sets that only share a passage, or phrases
-   that many documents have, hardly ever share a whole part. A set whose filled parts are too
-   few for that (only two such sets can miss each other) adds prefix keys: the shingles of
+   differ in at most ``D`` shingles, which follows from their sizes. Each set is dealt, by hash, into
+   half as many parts again; at most ``D`` of its filled parts then differ from the partner's, and
+   the hash of a part's whole content is a key that all others share. A set with no more than
+   ``D`` filled parts (only two such sets can miss each other) adds prefix keys: the shingles of
    smallest hash, one more than it may lack in common.
-3. Each shared key ties its sets to the smallest of them (a star, not all pairs); the
+3. In the order of how many sets hold a key, the first ``D + 1`` keys of either set hold one of
+   both, so only those count. A set that shares a passage, or phrases that many documents have,
+   has more than ``D`` keys of its own and drops out here, whatever it shares.
+   Each remaining key ties its sets to the smallest of them (a star, not all pairs); the
    components of these ties are candidate clusters, so each set is sent once.
 4. A cluster is a tile. Clusters that exceed ``TILE_SHINGLES`` are cut into bands of set size
    (a link bridges neighbouring bands at most) and into blocks, with a tile per pair of
@@ -44,6 +46,8 @@ BAND_RATIO = 1.6
 LEAST_BITS = 1024
 TILE_SHINGLES = 12_000_000
 PIVOTS = 6
+#: Parts to a set for each shingle that a partner may have different.
+PARTS = 1.5
 
 
 def _sets(texts: pa.Array, size: int):
@@ -104,16 +108,25 @@ def bands(percent: int, largest: int) -> np.ndarray:
 
 def keys(own: np.ndarray, band: int, top: int, percent: int) -> np.ndarray:
     """Keys of a set in a band whose largest size is ``top``."""
-    differ = 2 * top * (100 - percent) // (100 + percent)
-    parts = differ + 1 + (differ // 10 + 1 if differ else 0)
+    return keys_and_room(own, band, top, percent)[0]
+
+
+def keys_and_room(own: np.ndarray, band: int, top: int, percent: int) -> tuple[np.ndarray, int]:
+    """Keys of a set in a band whose largest size is ``top``, and how many more keys than it has
+    it would need to be sure of a shared one: with 0 or less, so many of its keys can be left out.
+    """
+    least = 2 * top * (100 - percent) // (100 + percent)
+    parts = int(least * PARTS) + 1
     part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     begins = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     content = np.add.reduceat(w.mix(own + np.uint64(1)), begins)
     out = w.mix(content + part[begins] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
-    if len(begins) <= differ:
+    differ = (len(own) + min(top, 100 * len(own) // percent)) * (100 - percent) // (100 + percent)
+    room = differ + 1 - len(begins)
+    if room > 0:
         prefix = own[: len(own) - needed(len(own), percent) + 1]
         out = np.concatenate([out, w.mix(prefix ^ np.uint64((band + 1) << 40))])
-    return out
+    return out, room
 
 
 def _digest(own: np.ndarray) -> np.uint64:
@@ -127,21 +140,25 @@ def _keyed(size: int, percent: int):
             if not sets:
                 continue
             tops = bands(percent, max(map(len, sets)))
-            found, nodes, counts = [], [], []
+            found, nodes, at, rooms, counts = [], [], [], [], []
             for own in sets:
                 band = int(np.searchsorted(tops, len(own)))
-                own_keys = [keys(own, band, int(tops[band]), percent)]
-                if 100 * len(own) // percent > tops[band]:
-                    own_keys.append(keys(own, band + 1, int(tops[band + 1]), percent))
-                found += own_keys
-                nodes.append(_digest(own))
-                counts.append(sum(map(len, own_keys)))
+                both = 100 * len(own) // percent > tops[band]
+                for place in (band, band + 1) if both else (band,):
+                    own_keys, room = keys_and_room(own, place, int(tops[place]), percent)
+                    found.append(own_keys)
+                    nodes.append(_digest(own))
+                    at.append(place)
+                    rooms.append(room)
+                    counts.append(len(own_keys))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(w.signed(np.concatenate(found))),
                     pa.array(np.repeat(w.signed(np.array(nodes, np.uint64)), counts)),
+                    pa.array(np.repeat(np.array(at, np.int32), counts)),
+                    pa.array(np.repeat(np.array(rooms, np.int64), counts)),
                 ],
-                names=["h", "d1"],
+                names=["h", "d1", "band", "room"],
             )
 
     return run
@@ -151,10 +168,12 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     """One bitmap per set, all of one width."""
     mean = sum(map(len, sets)) // max(1, len(sets))
     width = max(LEAST_BITS, 1 << (2 * mean).bit_length())
-    out = np.zeros((len(sets), width), dtype=bool)
+    out = np.zeros((len(sets), width // 64), dtype=np.uint64)
     for i, own in enumerate(sets):
-        out[i, (own % np.uint64(width)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+        bits = np.zeros(width, dtype=bool)
+        bits[(own % np.uint64(width)).astype(np.int64)] = True
+        out[i] = np.packbits(bits).view(np.uint64)
+    return out
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -263,6 +282,38 @@ def _tiles(members: DataFrame, percent: int, tile_shingles: int) -> DataFrame:
     return small.union(large).groupBy("node").agg(F.collect_list("tile").alias("tiles"))
 
 
+def _ties(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a, b``: the smallest set of each key that counts, and the others that hold it."""
+    keyed = lambda: texts.select("text").mapInArrow(
+        _keyed(size, percent), "h bigint, d1 bigint, band int, room bigint"
+    )
+    shared = stored(
+        keyed().groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1"), "keys"
+    )
+    # Keys of one set only come first in the order, so they take up the first places.
+    first = (
+        keyed()
+        .join(shared.hint("shuffle_hash"), "h")  # a key has one row there, and most keys have none
+        .groupBy("d1", "band", "room")
+        .agg(F.sort_array(F.collect_set(F.struct("sets", "h"))).alias("own"))
+        .withColumn("places", F.size("own") + F.least("room", F.lit(0)))
+        .where("places > 0")
+    )
+    counting = stored(
+        first.select("d1", F.explode(F.slice("own", F.lit(1), F.col("places").cast("int"))).alias("key")).select(
+            "d1", F.col("key.h").alias("h")
+        ),
+        "counting",
+    )
+    smallest = counting.groupBy("h").agg(F.min("d1").alias("first"), F.max("d1").alias("last"))
+    return (
+        counting.join(smallest.where("first < last").drop("last"), "h")
+        .where("d1 <> first")
+        .select(F.col("first").alias("a"), F.col("d1").alias("b"))
+        .distinct()
+    )
+
+
 def components(
     docs: DataFrame, size: int = 5, percent: int = 80, tile_shingles: int = TILE_SHINGLES
 ) -> DataFrame:
@@ -279,24 +330,10 @@ def components(
         .agg(F.min("doc_id").alias("node")),
         "classes",
     )
-    known = rows.where("doc_id IS NOT NULL").select("text")
-    keyed = lambda: known.mapInArrow(_keyed(size, percent), "h bigint, d1 bigint")
-    shared = stored(
-        keyed()
-        .groupBy("h")
-        .agg(F.min("d1").alias("first"), F.max("d1").alias("last"))
-        .where("first < last")
-        .select("h", "first"),
-        "keys",
-    )
-    ties = stored(
-        keyed()
-        .join(shared, "h")
-        .where("d1 <> first")
-        .select(F.col("first").alias("a"), F.col("d1").alias("b"))
-        .distinct(),
-        "ties",
-    )
+    # One document of each class; the merge is the plan at every size, as classes grow with the corpus.
+    only = classes.select(F.col("node").alias("doc_id")).distinct()
+    known = stored(rows.join(only.hint("merge"), "doc_id", "left_semi"), "class_texts")
+    ties = stored(_ties(known, size, percent), "ties")
     tied = ties.select(F.col("a").alias("v")).union(ties.select("b")).distinct()
     clusters = stored(connected_components(stored(tied, "tied"), ties), "candidates")
     members = clusters.select(F.col("v").alias("d1"), F.col("component").alias("cluster")).join(
@@ -304,7 +341,7 @@ def components(
     )
     tiles = stored(_tiles(members, percent, tile_shingles), "tiles")
     # One plan at every size: the tiles grow with the corpus, so they are never broadcast.
-    members = rows.join(tiles.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select(
+    members = known.join(tiles.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select(
         F.explode("tiles").alias("tile"), F.col("doc_id").alias("node"), "text"
     )
     links = stored(

@@ -83,6 +83,38 @@ def test_every_pair_that_links_shares_a_key():
                 assert len(np.intersect1d(*found))
 
 
+def test_first_keys_of_linked_sets_meet_in_any_order():
+    draw = np.random.default_rng(6)
+    for percent in (80, 85):
+        for n in (3, 8, 13, 40, 150, 900, 2500):
+            for _ in range(30):
+                a = np.unique(draw.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+                b, changes = a, (100 - percent) * n // (100 + percent)
+                if draw.random() < 0.5:  # a subset, as small as links allow
+                    b = np.sort(draw.permutation(a)[: ngram_join.needed(n, percent)])
+                elif changes:
+                    b = np.concatenate([draw.permutation(a)[changes:], draw.integers(2**62, size=changes).astype(np.uint64)])
+                    b = np.unique(b)
+                common = len(np.intersect1d(a, b))
+                assert 100 * common >= percent * (len(a) + len(b) - common)
+                tops, salt = ngram_join.bands(percent, n), np.uint64(draw.integers(2**62))
+                place = int(np.searchsorted(tops, n))  # the pair's band
+                counted = []
+                for own in (a, b):
+                    own_keys, room = ngram_join.keys_and_room(own, place, int(tops[place]), percent)
+                    places = len(own_keys) + min(room, 0)
+                    counted.append(own_keys[np.argsort(words.mix(own_keys ^ salt))][: max(places, 0)])
+                assert len(np.intersect1d(*counted))
+
+
+def test_sets_that_share_a_passage_are_no_candidates(spark):
+    passage = prose(77, 60)
+    texts = [" ".join([*prose(200 + n, 200, 10**6), *passage, *prose(300 + n, 140, 10**6)]) for n in range(40)]
+    texts = rows(spark, [*texts, texts[3] + " end"]).select("text")
+    ties = ngram_join._ties(texts, 5, 80).collect()
+    assert len(ties) == 1
+
+
 def test_representatives_keep_columns_and_one_row(spark):
     texts = ["a b c d e f g", "a b c d e f g", "z", None, None]
     docs = rows(spark, texts, [5, 2, 9, None, 4]).union(rows(spark, ["a b c d e f g"], [2]))
