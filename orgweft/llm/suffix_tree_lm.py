@@ -6,15 +6,20 @@ a probability, whatever words it holds.
 
 - Counts of all strings of ``depth + 1`` symbols are gathered from all training texts, and
   those of shorter strings follow from them.
-- A context becomes a candidate if its share of all training symbols is at least
-  ``MIN_SHARE`` (so there are at most ``1 / MIN_SHARE`` of each length, however large the corpus).
+- A context becomes a candidate if it occurs ``MIN_COUNT`` times, however large the corpus.
 - Of the candidates, from the longest on, those are kept whose next-symbol distribution
   diverges from that of their own suffix: count times Kullback-Leibler divergence above
   ``MIN_GAIN`` nats. With a context all its suffixes are kept.
 - A kept context's distribution is smoothed with its suffix's: ``(count + MASS * P(suffix)) /
   (total + MASS)``; the empty context with a uniform one.
-- A symbol is scored by its longest kept context. Each different string of a batch is scored
-  once.
+- A symbol is scored by its longest kept context.
+
+The kept contexts grow with the corpus, so counts, contexts and probabilities are stored
+tables, a length each, that meet in joins. A context has at most 256 next symbols and a string
+as many predecessors, so no key of these joins is large. Strings that only held-out texts hold
+are counted 0 times and smoothed like the others, so every string's probability is in the last
+table. Its ``HEAD_STRINGS`` most frequent strings go to every task; the others meet their
+texts in a join.
 
 The base scores need the count of every word. Words above a fixed share of all tokens,
 bounded in number by that share, go to every task; the others meet their counts in a join.
@@ -31,7 +36,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgweft.llm import words as w
@@ -39,7 +45,7 @@ from orgweft.llm.stages import stored
 
 FOLDS = 10
 DEPTH = 6
-MIN_SHARE = 5e-7
+MIN_COUNT = 2
 MIN_GAIN = 10.0
 MASS = 8.0
 HEAD_SHARE = 4e-6
@@ -47,6 +53,7 @@ END_HASH = int(w.mix(np.array([0x0A], dtype=np.uint64))[0])
 SYMBOLS = 256
 CHUNK_BYTES = 2 << 20
 HELD_STRINGS = 2_000_000
+HEAD_STRINGS = 3_000_000
 
 
 # --- strings of symbols ---------------------------------------------------------
@@ -100,26 +107,37 @@ def _added(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _counter(depth: int):
-    """Counts of strings, summed within a task as long as they fit."""
+    """Counts of strings in training texts, ``n``, and in all, ``m``, summed within a task as
+    long as they fit.
+    """
 
-    def row(value, count):
+    def row(value, count, held_out):
         return pa.RecordBatch.from_arrays(
-            [pa.array(w.signed(value)), pa.array(count.astype(np.int64))], names=["code", "n"]
+            [
+                pa.array(w.signed(value)),
+                pa.array((count * (not held_out)).astype(np.int64)),
+                pa.array(count.astype(np.int64)),
+            ],
+            names=["code", "n", "m"],
         )
 
     def run(batches):
-        value, count = np.empty(0, np.uint64), np.empty(0, np.int64)
+        sums = {kind: (np.empty(0, np.uint64), np.empty(0, np.int64)) for kind in (False, True)}
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, stop in _chunks(texts):
-                code, _, _ = _stream(texts[start:stop], depth)
-                new, times = np.unique(code, return_counts=True)
-                value, count = _added(np.concatenate([value, new]), np.concatenate([count, times]))
-                if len(value) > HELD_STRINGS:
-                    yield row(value, count)
-                    value, count = value[:0], count[:0]
-        if len(value):
-            yield row(value, count)
+            for held_out in sums:
+                texts = batch.filter(pc.equal(batch.column("held_out"), held_out)).column("text").to_pylist()
+                for start, stop in _chunks(texts):
+                    value, count = sums[held_out]
+                    code, _, _ = _stream(texts[start:stop], depth)
+                    new, times = np.unique(code, return_counts=True)
+                    value, count = _added(np.concatenate([value, new]), np.concatenate([count, times]))
+                    if len(value) > HELD_STRINGS:
+                        yield row(value, count, held_out)
+                        value, count = value[:0], count[:0]
+                    sums[held_out] = value, count
+        for held_out, (value, count) in sums.items():
+            if len(value):
+                yield row(value, count, held_out)
 
     return run
 
@@ -164,7 +182,8 @@ def _index(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def grow(rows: dict[int, tuple[np.ndarray, np.ndarray]], min_gain: float, mass: float) -> Tree:
     """The tree from ``length -> (codes of context and symbol, counts)``, both lengths' codes
-    sorted and complete for every candidate context.
+    sorted and complete for every candidate context. This is ``probabilities`` for counts that
+    fit one process.
     """
     depth = max(rows)
     root_counts = np.zeros(SYMBOLS)
@@ -214,38 +233,85 @@ def grow(rows: dict[int, tuple[np.ndarray, np.ndarray]], min_gain: float, mass:
     return tree
 
 
-def train(texts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN) -> Tree:
-    """The tree of all ``text``. Counting, shortening and the choice of candidates are Spark's;
-    the driver gets the candidates, whose number ``min_share`` bounds.
+def _context() -> Column:
+    return F.shiftrightunsigned("code", 8)
+
+
+def _suffix(column: str, symbols: int) -> Column:
+    return F.col(column).bitwiseAND(F.lit((1 << (8 * symbols)) - 1))
+
+
+def probabilities(
+    rows: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN, mass: float = MASS
+) -> DataFrame:
+    """``code, m, p``: each string of ``depth + 1`` symbols of ``text, held_out``, how often it
+    occurs and the probability of its last symbol after the others, learnt from the training rows.
     """
-    longest = stored(
-        texts.mapInArrow(_counter(depth), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")),
+    strings = stored(
+        rows.select("text", "held_out")
+        .mapInArrow(_counter(depth), "code bigint, n bigint, m bigint")
+        .groupBy("code")
+        .agg(F.sum("n").alias("n"), F.sum("m").alias("m")),
         "strings",
     )
-    total = longest.agg(F.sum("n")).first()[0] or 0
-    rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    symbols = strings.agg(F.sum("n")).first()[0] or 0
+    counts = {}
     for length in range(depth, -1, -1):
-        # Dropping the earliest symbols shortens a context.
-        here = longest.groupBy(
-            F.col("code").bitwiseAND(F.lit((1 << (8 * (length + 1))) - 1)).alias("code")
-        ).agg(F.sum("n").alias("n"))
-        if length:
-            context = F.shiftrightunsigned("code", 8)
-            frequent = (
-                longest.groupBy(
-                    F.shiftrightunsigned(
-                        F.col("code").bitwiseAND(F.lit((1 << (8 * (length + 1))) - 1)), 8
-                    ).alias("context")
-                )
-                .agg(F.sum("n").alias("total"))
-                .where(F.col("total") >= max(1.0, min_share * total))
+        here = strings
+        if length < depth:
+            # Dropping the earliest symbol shortens a context.
+            here = counts[length + 1].groupBy(_suffix("code", length + 1).alias("code")).agg(F.sum("n").alias("n"))
+        total = F.sum("n").over(Window.partitionBy(_context())) if length else F.lit(symbols).cast("bigint")
+        counts[length] = stored(here.withColumn("total", total), "counts")
+    kept = {}
+    for length in range(depth, 0, -1):
+        shorter = counts[length - 1].where("n > 0").select(
+            F.col("code").alias("suffix"), F.try_divide("n", "total").alias("below")
+        )
+        here = (
+            counts[length]
+            .where((F.col("n") > 0) & (F.col("total") >= min_count))
+            .join(shorter, _suffix("code", length) == F.col("suffix"))
+            .groupBy(_context().alias("context"))
+            .agg(F.sum(F.col("n") * F.log(F.try_divide("n", "total") / F.col("below"))).alias("gain"))
+            .where(F.col("gain") > min_gain)
+            .select("context")
+        )
+        if length < depth:
+            here = here.union(kept[length + 1].select(_suffix("context", length))).distinct()
+        kept[length] = stored(here, "contexts")
+    out = counts[0].select("code", ((F.col("n") + 0.1) / (F.col("total") + 0.1 * SYMBOLS)).alias("p"))
+    for length in range(1, depth + 1):
+        shorter = out.select(F.col("code").alias("suffix"), F.col("p").alias("below"))
+        smooth = (F.col("n") + mass * F.col("below")) / (F.col("total") + mass)
+        out = (
+            counts[length]
+            .join(kept[length], _context() == F.col("context"), "left")
+            .join(shorter, _suffix("code", length) == F.col("suffix"))
+            .select(
+                "code",
+                *(["m"] if length == depth else []),
+                F.when(F.col("context").isNotNull(), smooth).otherwise(F.col("below")).alias("p"),
             )
-            here = here.join(frequent, context == F.col("context"), "left_semi")
-        table = here.toArrow()
-        codes = table.column("code").to_numpy().view(np.uint64)
-        order = np.argsort(codes)
-        rows[length] = (codes[order], table.column("n").to_numpy()[order])
-    return grow(rows, min_gain, MASS)
+        )
+    return stored(out, "probabilities")
+
+
+def _most_frequent(strings: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and log10 probabilities of the most frequent strings, ``size`` at most, sorted."""
+    step = F.floor(F.log2("m") * 64)
+    least, held = None, 0
+    for at, count in sorted(strings.groupBy(step).count().collect(), reverse=True):
+        held += count
+        if held > size:
+            break
+        least = at
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0)
+    head = strings.where(step >= least).select("code", "p").toArrow()
+    code = head.column("code").to_numpy().view(np.uint64)
+    order = np.argsort(code)
+    return code[order], np.log10(head.column("p").to_numpy()[order])
 
 
 # --- the base -------------------------------------------------------------------
@@ -270,54 +336,53 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     )
 
 
-def _rare_words(head):
-    """Per text, its words that are not in the head, and one row that stands for the text."""
-
-    def run(batches):
-        known, _ = head.value
-        for batch in batches:
-            ids, tags = batch.column("_id").to_numpy(), batch.column("_tag").to_numpy()
-            for start, stop, block in w.blocks(batch.column("text"), lower=True):
-                owner = block.owner()
-                rare = ~_member(block.hashes, known)
-                own, place = block.hashes[rare], owner[rare]
-                order = np.lexsort((own, place))
-                own, place = own[order], place[order]
-                new = np.ones(len(own), dtype=bool)
-                new[1:] = (own[1:] != own[:-1]) | (place[1:] != place[:-1])
-                first = np.flatnonzero(new)
-                count = np.diff(np.append(first, len(own)))
-                every = np.arange(start, stop)
-                rows = np.concatenate([start + place[first], every])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[rows]),
-                        pa.array(tags[rows]),
-                        pa.array(
-                            np.concatenate([w.signed(own[first]), w.signed(w.mix(ids[every].view(np.uint64)))])
-                        ),
-                        pa.array(np.concatenate([count, np.zeros(len(every), np.int64)])),
-                    ],
-                    names=["_id", "_tag", "h", "n"],
-                )
-
-    return run
-
-
 def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(values), dtype=bool)
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def _scorer(tree, head, total: int, distinct: int):
-    """Per text: tokens, those of the head and their base score, and the tree's score."""
+#: What a row of the scorer stands for.
+TEXT, WORD, STRING = 0, 1, 2
+
+
+def _repeats(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each occurs."""
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+    first = np.flatnonzero(new)
+    return owner[first], value[first], np.diff(np.append(first, len(owner)))
+
+
+def _scorer(head, frequent, total: int, distinct: int, depth: int):
+    """Per text: tokens, those of the head and their base score, and the score of its frequent
+    strings; and for its other words a row each, with how often it holds them, and for its other
+    strings a row each time.
+    """
 
     def run(batches):
         known, counts = head.value
-        model = tree.value
+        strings, values = frequent.value
         below = total + 0.1 * (distinct + 1)
         gain = np.log10((np.append(counts, 0) + 0.1) / below)
+
+        def rows(batch, kind, at, h, n, own):
+            empty = lambda name: pa.nulls(len(at), batch.schema.field(name).type)
+            none = [empty("doc_id"), empty("held_out"), *[pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(at), kind, np.int32)),
+                    batch.column("_id").take(pa.array(at)),
+                    batch.column("_tag").take(pa.array(at)),
+                    h,
+                    n,
+                    *(own or none),
+                ],
+                names=["kind", "_id", "_tag", "h", "n", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"],
+            )
+
         for batch in batches:
             n_tokens = np.zeros(batch.num_rows, dtype=np.int64)
             n_known = np.zeros(batch.num_rows, dtype=np.int64)
@@ -328,34 +393,52 @@ def _scorer(tree, head, total: int, distinct: int):
                 value = np.zeros(len(owner))
                 if len(known):
                     value[inside] = gain[np.searchsorted(known, block.hashes[inside])]
-                rows = stop - start
+                size = stop - start
                 n_tokens[start:stop] = np.diff(block.first)
-                n_known[start:stop] = np.bincount(owner[inside], minlength=rows)
-                base[start:stop] = np.bincount(owner, weights=value, minlength=rows)
+                n_known[start:stop] = np.bincount(owner[inside], minlength=size)
+                base[start:stop] = np.bincount(owner, weights=value, minlength=size)
+                at, word, n = _repeats(owner[~inside], block.hashes[~inside])
+                if len(at):
+                    yield rows(batch, WORD, start + at, pa.array(w.signed(word)), pa.array(n), None)
             texts = batch.column("text").to_pylist()
             score = np.zeros(batch.num_rows)
             for start, stop in _chunks(texts):
-                code, first, _ = _stream(texts[start:stop], model.depth)
-                value, place = np.unique(code, return_inverse=True)
-                score[start:stop] = np.add.reduceat(model.score(value)[place], first)
-            yield pa.RecordBatch.from_arrays(
+                code, first, _ = _stream(texts[start:stop], depth)
+                own = pa.array(code).dictionary_encode()
+                place, own = own.indices.to_numpy(), own.dictionary.to_numpy()
+                order = np.argsort(own)
+                value = np.zeros(len(own))
+                inside = np.zeros(len(own), dtype=bool)
+                if len(strings):
+                    at = np.minimum(np.searchsorted(strings, own[order]), len(strings) - 1)
+                    inside[order] = strings[at] == own[order]
+                    value[order] = np.where(inside[order], values[at], 0.0)
+                score[start:stop] = np.add.reduceat(value[place], first)
+                rare = np.flatnonzero(~inside[place])
+                if len(rare):
+                    at = np.searchsorted(first, rare, "right") - 1
+                    yield rows(batch, STRING, start + at, pa.array(w.signed(code[rare])), pa.array(np.ones(len(rare), np.int64)), None)
+            every = np.arange(batch.num_rows)
+            yield rows(
+                batch,
+                TEXT,
+                every,
+                pa.nulls(batch.num_rows, pa.int64()),
+                pa.nulls(batch.num_rows, pa.int64()),
                 [
                     batch.column("doc_id"),
-                    batch.column("_id"),
-                    batch.column("_tag"),
                     batch.column("held_out"),
                     pa.array(n_tokens + 1),
                     pa.array(n_known),
                     pa.array(base),
                     pa.array(score),
                 ],
-                names=["doc_id", "_id", "_tag", "held_out", "n_tokens", "n_known", "base", "score"],
             )
 
     return run
 
 
-def scores(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
+def scores(docs: DataFrame, folds: int = FOLDS, head_strings: int = HEAD_STRINGS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row, learnt
     from the rows whose ``crc32`` of ``doc_id`` modulo ``folds`` is not 0.
     """
@@ -376,26 +459,39 @@ def scores(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     order = np.argsort(value)
     head = spark.sparkContext.broadcast((value[order], common.column("c").to_numpy()[order]))
     ends = dict(zip(value.tolist(), common.column("c").to_pylist(), strict=True)).get(END_HASH, 0)
-    tree = spark.sparkContext.broadcast(train(learnt))
+    strings = probabilities(rows)
+    frequent = spark.sparkContext.broadcast(_most_frequent(strings, head_strings))
 
     below = total + 0.1 * (distinct + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = rows.mapInArrow(
-        _scorer(tree, head, total, distinct),
-        f"doc_id {kind}, _id bigint, _tag bigint, held_out boolean, n_tokens bigint, n_known bigint, "
-        "base double, score double",
+    passed = stored(
+        rows.mapInArrow(
+            _scorer(head, frequent, total, distinct, DEPTH),
+            f"kind int, _id bigint, _tag bigint, h bigint, n bigint, doc_id {kind}, held_out boolean, "
+            "n_tokens bigint, n_known bigint, base double, score double",
+        ),
+        "passed",
     )
-    rare = rows.select("_id", "_tag", "text").mapInArrow(
-        _rare_words(head), "_id bigint, _tag bigint, h bigint, n bigint"
+    own = passed.where(F.col("kind") == TEXT).drop("kind", "h", "n")
+    nothing = {"more_base": F.lit(0.0), "more_known": F.lit(0).cast("bigint"), "more_score": F.lit(0.0), "rows": F.lit(0)}
+    part = lambda frame, **given: frame.select(
+        "_id", "_tag", *[value.alias(name) for name, value in (nothing | given).items()]
     )
     found = (
-        rare.join(counts, "h", "left")
-        .groupBy("_id", "_tag")
-        .agg(
-            F.sum(F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / below)).alias("more_base"),
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
-            F.sum(F.when(F.col("n") == 0, 1).otherwise(0)).alias("rows"),
+        part(
+            passed.where(F.col("kind") == WORD).join(counts, "h", "left"),
+            more_base=F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.1) / below),
+            more_known=F.when(F.col("c") > 0, F.col("n")).otherwise(0),
+        )
+        .union(
+            part(
+                passed.where(F.col("kind") == STRING).join(strings.withColumnRenamed("code", "h"), "h"),
+                more_score=F.col("n") * F.log10("p"),
+            )
         )
+        .union(part(own, rows=F.lit(1)))
+        .groupBy("_id", "_tag")
+        .agg(*[F.sum(name).alias(name) for name in nothing])
     )
     found = stored(found, "rare")
     end = math.log10((ends + 0.1) / below)
@@ -406,7 +502,7 @@ def scores(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
         (F.col("n_known") + F.expr("more_known div rows") + (1 if ends else 0)).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.col("more_base") / F.col("rows") + end).alias("base_score"),
-        "score",
+        (F.col("score") + F.col("more_score") / F.col("rows")).alias("score"),
     )
 
 

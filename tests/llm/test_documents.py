@@ -243,6 +243,50 @@ def test_tree_distributions_sum_to_one():
         assert np.isin(tree.contexts[length][0] & mask, tree.contexts[length - 1][0]).all()
 
 
+def _tree_of(texts, depth=suffix_tree_lm.DEPTH):
+    """The tree of all contexts that occur ``MIN_COUNT`` times, without Spark."""
+    code, _, _ = suffix_tree_lm._stream(texts, depth)
+    rows_ = {}
+    for length in range(depth + 1):
+        own, n = np.unique(code & np.uint64((1 << (8 * (length + 1))) - 1), return_counts=True)
+        if length:
+            _, place = np.unique(own >> np.uint64(8), return_inverse=True)
+            often = np.bincount(place, weights=n)[place] >= suffix_tree_lm.MIN_COUNT
+            own, n = own[often], n[often]
+        rows_[length] = own, n
+    return suffix_tree_lm.grow(rows_, suffix_tree_lm.MIN_GAIN, suffix_tree_lm.MASS)
+
+
+def test_contexts_are_kept_by_count_and_not_by_share(spark):
+    # "q" is before "z" three times in some eight million symbols, a share below 5e-7.
+    common = " ".join(prose(7, 4000, 50))
+    ids = [i for i in range(700) if zlib.crc32(str(i).encode()) % 10]
+    texts = [common] * (len(ids) - 1) + ["qzxjkv " * 3]
+    tree = _tree_of(texts)
+    assert np.isin(np.uint64(ord("q")), tree.contexts[1][0])
+    docs = rows(spark, texts, ids).select("doc_id", "text").repartition(8)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.scores(docs).collect()}
+    for i, text in ((ids[0], texts[0]), (ids[-1], texts[-1])):
+        code, _, _ = suffix_tree_lm._stream([text], suffix_tree_lm.DEPTH)
+        assert math.isclose(got[i], tree.score(code).sum(), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("head", [0, 300, suffix_tree_lm.HEAD_STRINGS])
+def test_scores_equal_those_of_the_whole_tree(spark, head):
+    texts = [" ".join(sha256(x)[:8] for x in prose(n, 150, 40)) for n in range(60)] + [*ODD, "new words", "new words"]
+    ids = [*range(len(texts) - 1), len(texts) - 2]
+    docs = rows(spark, texts, ids)
+    learnt = [t for i, t in zip(ids, texts, strict=True) if zlib.crc32(str(i).encode()) % 10]
+    tree = _tree_of(learnt)
+    assert len(tree.contexts[3][0]) > 10
+    expected = []
+    for i, t in zip(ids, texts, strict=True):
+        code, _, _ = suffix_tree_lm._stream([t], suffix_tree_lm.DEPTH)
+        expected.append((i, round(float(tree.score(code).sum()), 6)))
+    got = suffix_tree_lm.scores(docs, head_strings=head).collect()
+    assert sorted((r.doc_id, round(r.score, 6)) for r in got) == sorted(expected)
+
+
 # --- packing --------------------------------------------------------------------
 
 
