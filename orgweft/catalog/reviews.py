@@ -194,7 +194,7 @@ def verdict(v: Views) -> DataFrame:
        SELECT module AS subject_key, owner AS person_key, confidence FROM b WHERE j = 1""",
 )
 def relation_owners(v: Views) -> DataFrame:
-    rows = Q.relation_rows(v.bundle.edges, "OWNS")
+    rows = Q.relation_rows(v.bundle.edges, "OWNS", limit=None)
     return Q.owners_from_relations(rows, L.snapshot_epoch(v.bundle.evidence)).select(
         "subject_key", "person_key", "confidence"
     )

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from types import SimpleNamespace
 
+from orgweft.catalog.reviews import relation_owners
 from orgweft.operators import lenses as L
 from orgweft.operators import questions as Q
 from orgweft.plans import snapshot as S
@@ -46,3 +48,20 @@ def test_file_checks(spark, tmp_path):
     )
     got = {r["file"]: (r["wrong_digest"], r["wrong_count"]) for r in S.file_checks(digests, counts, expected).collect()}
     assert got == {"b.json": (True, True), "c.json": (True, True)}
+
+
+def test_owner_is_the_best_of_all_relations(spark):
+    """The best of forty owners is the last by key."""
+    rows = [
+        ("OWNS", f"person:p{n:02}", "module:m", f"owns:{n:02}", (1 if n < 39 else 5, 100, 80, 0, None))
+        for n in range(40)
+    ]
+    edges = spark.createDataFrame(
+        rows,
+        "rel_type STRING, source_key STRING, target_key STRING, canonical_key STRING, props STRUCT<authority_rank: BIGINT, "
+        "observed_epoch: BIGINT, confidence: BIGINT, valid_from_epoch: BIGINT, valid_until_epoch: BIGINT>",
+    )
+    evidence = spark.createDataFrame([(200,)], "observed_epoch BIGINT")
+    views = SimpleNamespace(bundle=SimpleNamespace(edges=edges, evidence=evidence))
+    assert [tuple(r) for r in relation_owners(views).collect()] == [("module:m", "person:p39", 80)]
+    assert Q.relation_rows(edges, "OWNS").count() == 25 and Q.relation_rows(edges, "OWNS", limit=3).count() == 3
