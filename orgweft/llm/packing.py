@@ -14,13 +14,14 @@ The driver holds the histogram and the configurations, whose number depends on t
 capacity and the rounds, not on the documents.
 
 Defined results: a null or empty text is one piece that holds the end id alone. Longer
-documents are cut from the end, so that the first piece is the short one. Repeated rows and
-null ``doc_id`` are packed like others; extra columns are ignored.
+documents, however long, are cut from the end, so that the first piece is the short one.
+Repeated rows and null ``doc_id`` are packed like others; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import Counter
 
@@ -45,15 +46,15 @@ _encoders: dict[str, object] = {}
 def encoder(vocabulary: str = VOCABULARY):
     """``text -> uint32 ids`` of a vocabulary: the name of a public one, or a file's path.
 
-    ``.json`` files are read by ``tokenizers``. A public name uses the rank file of the same
-    vocabulary, which gives the same ids in a fraction of the time.
+    ``.json`` files are read by ``tokenizers`` as they are. A public name uses the rank file of
+    the same vocabulary, which gives the same ids in a fraction of the time; the special strings
+    that its JSON file names are found in texts and get their ids, as that library does.
     """
     if vocabulary not in _encoders:
         if vocabulary.endswith(".json"):
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_file(vocabulary)
-            own.encode_special_tokens = True
             _encoders[vocabulary] = lambda text: np.array(
                 own.encode(text, add_special_tokens=False).ids, dtype=np.uint32
             )
@@ -61,15 +62,17 @@ def encoder(vocabulary: str = VOCABULARY):
             import public_tokenizers
             import tiktoken
 
-            path = vocabulary
+            path, special = vocabulary, {}
             if not path.endswith(".tiktoken"):
                 path = public_tokenizers.path(f"{vocabulary}.tiktoken")
+                with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+                    special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             encoding = tiktoken.Encoding(
-                "public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+                "public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
             )
-            _encoders[vocabulary] = encoding.encode_to_numpy
+            _encoders[vocabulary] = lambda text: encoding.encode_to_numpy(text, allowed_special="all")
     return _encoders[vocabulary]
 
 
