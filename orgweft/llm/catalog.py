@@ -16,8 +16,11 @@ from orgweft.llm import (
     secrets,
     suffix_repeats,
     suffix_tree_lm,
+    target_resampling,
+    token_counts,
     url_cascade,
     warc,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +75,18 @@ def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(spark, _table(spark, sf_dir, "pages"))
 
 
+def op11_blockmatrix_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(_table(spark, sf_dir, "documents"))
+
+
 for _query in (
     op1_suffix_tree_scores,
     op2_simhash_decontamination,
@@ -83,6 +98,9 @@ for _query in (
     op8_configuration_packing,
     op9_dictionary_warc,
     op10_url_cascade,
+    op11_blockmatrix_whitening,
+    op12_importance_resampling,
+    op13_token_counts,
 ):
     QUERIES[_query.__name__] = _query
 
@@ -90,3 +108,4 @@ ORACLES["op3_quality_ledger"] = quality.SQL
 ORACLES["op10_url_cascade"] = url_cascade.SQL
 ORACLES["op4_ngram_jaccard"] = ngram_join.SQL
 ORACLES["op7_suffix_repeats"] = suffix_repeats.SQL
+ORACLES["op12_importance_resampling"] = target_resampling.SQL
