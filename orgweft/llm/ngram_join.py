@@ -13,6 +13,9 @@ join loses no link between different sets, and never lists the pairs of a group:
 3. In the order of how many sets hold a key, the first ``D + 1`` keys of either set hold one of
    both, so only those count. A set that shares a passage, or phrases that many documents have,
    has more than ``D`` keys of its own and drops out here, whatever it shares.
+   Keys are counted first; a filter of the shared ones, of bounded size, then keeps most keys of one
+   set only out of the shuffle that brings the counts to the sets (what it lets through by mistake
+   falls out in the join).
    Each remaining key ties its sets to the smallest of them (a star, not all pairs); the
    components of these ties are candidate clusters, so each set is sent once.
 4. A cluster is a tile. Clusters that exceed ``TILE_SHINGLES`` are cut into bands of set size
@@ -24,9 +27,11 @@ join loses no link between different sets, and never lists the pairs of a group:
    join them.
 
 Defined results: null or wordless texts have no shingles and link with nothing; a text
-shorter than a shingle is one shingle of its whole word sequence; a null ``doc_id`` links with
-nothing and is its own (null) component; repeated rows share their component. Extra columns
-are ignored by ``components`` and carried by ``representatives``.
+shorter than a shingle is one shingle of its whole word sequence, and a very long one is a set
+like others; a null ``doc_id`` links with nothing and is its own (null) component; repeated rows
+share their component. Extra columns are ignored by ``components`` and carried by
+``representatives``, whatever their names. If rows share an id, ``representatives`` keeps the one
+whose values have the smallest hash; equal rows are one.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 
 from orgweft.llm import words as w
 from orgweft.operators.graph import connected_components
-from orgweft.llm.stages import stored
+from orgweft.llm.stages import stored, temporary
 
 BAND_RATIO = 1.6
 #: A bitmap has twice as many bits as the tile's mean set has shingles, 1024 at least; narrower ones
@@ -46,6 +51,8 @@ BAND_RATIO = 1.6
 LEAST_BITS = 1024
 TILE_SHINGLES = 12_000_000
 PIVOTS = 6
+#: Bits of the filter of shared keys (8 MB); with more keys it lets more through.
+FILTER_BITS = 1 << 26
 #: Parts to a set for each shingle that a partner may have different.
 PARTS = 1.5
 
@@ -133,7 +140,33 @@ def _digest(own: np.ndarray) -> np.uint64:
     return w.mix(own + np.uint64(len(own))).sum(dtype=np.uint64)
 
 
-def _keyed(size: int, percent: int):
+def key_filter(shared: DataFrame) -> np.ndarray:
+    """A bit for each remainder that a key ``h`` of the frame has, as bytes."""
+    at = F.pmod("h", F.lit(FILTER_BITS))
+    parts = (
+        shared.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("bit"))
+        .groupBy("part")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+    )
+    # Bucket n holds the places from 32768 * (n - 1) + 1 to 32768 * n.
+    out = np.zeros(FILTER_BITS // 8 + 4096, dtype=np.uint8)
+    for row in parts.collect():
+        begin = 4096 * row["part"]
+        out[begin : begin + 4096] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _passing(bits: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which keys a filter lets through."""
+    at = w.signed(found) % FILTER_BITS
+    # Place p > 0 is bit (p - 1) % 32768 of bucket (p - 1) // 32768 + 1; place 0 is bit 0 of bucket 0.
+    place = np.where(at > 0, at - 1 + 32768, 0)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _keyed(size: int, percent: int, shared=None):
+    """Keys of each text, all of them or those that the broadcast filter ``shared`` lets through."""
+
     def run(batches):
         for batch in batches:
             sets = [own for own in _sets(batch.column("text"), size) if len(own)]
@@ -146,6 +179,8 @@ def _keyed(size: int, percent: int):
                 both = 100 * len(own) // percent > tops[band]
                 for place in (band, band + 1) if both else (band,):
                     own_keys, room = keys_and_room(own, place, int(tops[place]), percent)
+                    if shared is not None:
+                        own_keys = own_keys[_passing(shared.value, own_keys)]
                     found.append(own_keys)
                     nodes.append(_digest(own))
                     at.append(place)
@@ -284,15 +319,16 @@ def _tiles(members: DataFrame, percent: int, tile_shingles: int) -> DataFrame:
 
 def _ties(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``a, b``: the smallest set of each key that counts, and the others that hold it."""
-    keyed = lambda: texts.select("text").mapInArrow(
-        _keyed(size, percent), "h bigint, d1 bigint, band int, room bigint"
+    keyed = lambda shared=None: texts.select("text").mapInArrow(
+        _keyed(size, percent, shared), "h bigint, d1 bigint, band int, room bigint"
     )
     shared = stored(
         keyed().groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1"), "keys"
     )
+    known = texts.sparkSession.sparkContext.broadcast(key_filter(shared))
     # Keys of one set only come first in the order, so they take up the first places.
     first = (
-        keyed()
+        keyed(known)
         .join(shared.hint("shuffle_hash"), "h")  # a key has one row there, and most keys have none
         .groupBy("d1", "band", "room")
         .agg(F.sort_array(F.collect_set(F.struct("sets", "h"))).alias("own"))
@@ -332,21 +368,21 @@ def components(
     )
     # One document of each class; the merge is the plan at every size, as classes grow with the corpus.
     only = classes.select(F.col("node").alias("doc_id")).distinct()
-    known = stored(rows.join(only.hint("merge"), "doc_id", "left_semi"), "class_texts")
-    ties = stored(_ties(known, size, percent), "ties")
-    tied = ties.select(F.col("a").alias("v")).union(ties.select("b")).distinct()
-    clusters = stored(connected_components(stored(tied, "tied"), ties), "candidates")
-    members = clusters.select(F.col("v").alias("d1"), F.col("component").alias("cluster")).join(
-        classes.select("d1", "node", "n"), "d1"
-    )
-    tiles = stored(_tiles(members, percent, tile_shingles), "tiles")
-    # One plan at every size: the tiles grow with the corpus, so they are never broadcast.
-    members = known.join(tiles.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select(
-        F.explode("tiles").alias("tile"), F.col("doc_id").alias("node"), "text"
-    )
-    links = stored(
-        members.groupBy("tile").applyInArrow(_linker(size, percent), "a bigint, b bigint"), "links"
-    ).distinct()
+    with temporary(rows.join(only.hint("merge"), "doc_id", "left_semi"), "class_texts") as known:
+        ties = stored(_ties(known, size, percent), "ties")
+        tied = ties.select(F.col("a").alias("v")).union(ties.select("b")).distinct()
+        clusters = stored(connected_components(stored(tied, "tied"), ties), "candidates")
+        members = clusters.select(F.col("v").alias("d1"), F.col("component").alias("cluster")).join(
+            classes.select("d1", "node", "n"), "d1"
+        )
+        tiles = stored(_tiles(members, percent, tile_shingles), "tiles")
+        # One plan at every size: the tiles grow with the corpus, so they are never broadcast.
+        members = known.join(tiles.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").select(
+            F.explode("tiles").alias("tile"), F.col("doc_id").alias("node"), "text"
+        )
+        links = stored(
+            members.groupBy("tile").applyInArrow(_linker(size, percent), "a bigint, b bigint"), "links"
+        ).distinct()
     linked = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
     joined = stored(connected_components(stored(linked, "linked"), stored(links, "forest")), "components")
     named = stored(
@@ -366,17 +402,20 @@ def components(
 def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their component, one row of each, with all columns.
 
-    Rows without a ``doc_id`` stay, as they belong to no component.
+    Rows without a ``doc_id`` stay, as they belong to no component. Ids and hashes of whole rows
+    decide which row stays, so the rows themselves are shuffled once.
     """
-    kept = (
-        components(docs, size, percent)
-        .where(F.col("doc_id") == F.col("component_id"))
-        .select(F.col("doc_id").alias("_kept"))
-        .distinct()
-    )
     names = [F.col(f"`{name}`") for name in docs.columns]
-    whole = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return whole.dropDuplicates(["doc_id"]).select(*names).union(docs.where("doc_id IS NULL"))
+    # Nulls do not count in the hash of several columns, so their places are hashed as well.
+    mark = F.xxhash64(*names, *[name.isNull() for name in names])
+    wrapped = docs.select(F.col("doc_id").cast("bigint").alias("id"), mark.alias("mark"), F.struct(*names).alias("row"))
+    least = docs.select(F.col("doc_id").cast("bigint").alias("id"), mark.alias("mark")).groupBy("id").agg(
+        F.min("mark").alias("mark")
+    )
+    first = components(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("id"))
+    kept = stored(least.join(first, "id", "left_semi"), "kept")
+    chosen = wrapped.join(kept, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    return chosen.union(wrapped.where("id IS NULL")).select("row.*")
 
 
 SQL = """

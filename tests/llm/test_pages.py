@@ -101,42 +101,47 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(map(repr, map(tuple, frame.select(*columns).collect()))) == sorted(map(repr, result.fetchall()))
 
 
-def test_pipeline_stages(spark, tmp_path):
+def test_pipeline_stages(spark, monkeypatch):
     from orgweft.llm import decontamination, packing, quality, secrets
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
-    kept = {r.doc_id for r in quality.verdicts(docs).where("kept").collect()}
+    kept = {r.doc_id for r in quality.verdicts(docs).collect() if r.kept}
     texts = {r.doc_id: r.text for r in docs.collect()}
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
-    now = docs
-    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        stage(spark, now, DATA).write.parquet(str(tmp_path / name))
-        now = spark.read.parquet(str(tmp_path / name))
-        ids = {r.doc_id for r in now.select("doc_id").collect()}
-        if number == 0:
-            assert ids == kept
-        elif number == 1:
-            top = link_components(sorted((i, texts[i]) for i in kept), 5, 80)
-            assert ids == set(top.values())
-            last = ids
-        elif number == 2:
-            found = {r.doc_id for r in decontamination.hits(docs, bench).collect()}
-            assert ids == last - found and found
-            last = ids
-        elif number == 3:
-            assert ids == last
-            for r in now.collect():
-                assert not [s for s in secrets.find(r.text) if s["kind"] < 3]
-                if not secrets.find(texts[r.doc_id]):
-                    assert r.text == texts[r.doc_id]
-            redacted = {r.doc_id: r.text for r in now.collect()}
-        else:
-            encode = packing.encoder()
-            total = sum(len(encode(t)) + 1 for t in redacted.values())
-            assert ids == last and now.agg({"length": "sum"}).first()[0] == total
-        if number < 4:
-            assert now.columns == docs.columns
-    assert "pipeline" in __spark_entry__.queries()
-    assert corpus_pipeline.run(spark, DATA).count() == now.count()
+    # What each stage gets is what the one before it returned, written and read again.
+    seen = {}
+
+    def watched(name, stage):
+        def run(spark, docs, sf_dir):
+            seen[name] = docs
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*stage) for stage in corpus_pipeline.STAGES])
+    packed = corpus_pipeline.run(spark, DATA).collect()
+    assert list(seen) == names and "pipeline" in __spark_entry__.queries()
+    assert all(frame.columns == docs.columns for frame in seen.values())
+    got = [{r.doc_id: r.text for r in seen[name].collect()} for name in names]
+    assert got[0] == texts
+    assert got[1] == {i: texts[i] for i in kept}
+    top = link_components(sorted((i, texts[i]) for i in kept), 5, 80)
+    assert got[2] == {i: texts[i] for i in set(top.values())}
+    found = {r.doc_id for r in decontamination.hits(docs, bench).collect()}
+    assert found and got[3] == {i: t for i, t in got[2].items() if i not in found}
+    assert set(got[4]) == set(got[3])
+    for i, text in got[4].items():
+        assert not [s for s in secrets.find(text) if s["kind"] < 3]
+        if not secrets.find(texts[i]):
+            assert text == texts[i]
+    encode = packing.encoder()
+    assert {r.doc_id for r in packed} == set(got[4])
+    assert sum(r.length for r in packed) == sum(len(encode(t)) + 1 for t in got[4].values())
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    for table in ("documents", "benchmark"):
+        spark.read.parquet(f"{DATA}/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -58,6 +58,31 @@ def test_join_components(spark, seed, size, percent, tile):
         assert row.component_id == (None if row.doc_id is None else expected[row.doc_id])
 
 
+def test_filter_keeps_every_shared_key(spark):
+    draw = np.random.default_rng(2)
+    keys = draw.integers(-(2**63), 2**63 - 1, 3000)
+    edges = [0, 1, 32768, 32769, ngram_join.FILTER_BITS - 1, ngram_join.FILTER_BITS, -1]
+    every = np.concatenate([keys, edges, [5 * ngram_join.FILTER_BITS + 77]])
+    frame = spark.createDataFrame([(int(k),) for k in every], "h bigint")
+    bits = ngram_join.key_filter(frame)
+    assert ngram_join._passing(bits, every.view(np.uint64)).all()
+    assert ngram_join._passing(bits, draw.integers(-(2**63), 2**63 - 1, 20000).view(np.uint64)).mean() < 0.01
+    assert not ngram_join._passing(ngram_join.key_filter(frame.limit(0)), every.view(np.uint64)).any()
+
+
+def test_representatives_of_shared_ids_and_clashing_names(spark):
+    base = " ".join(prose(1, 40))
+    data = [(1, base, "a"), (1, base, "a"), (1, " ".join(prose(2, 40)), "b"), (2, base, None), (3, "x y", "c"), (None, base, "d"), (None, base, "d"), (4, None, "e")]
+    docs = spark.createDataFrame(data, "doc_id int, text string, _kept string").withColumnsRenamed({})
+    for clash in ("id", "mark", "row", "component_id", "d1"):
+        docs = docs.withColumn(clash, docs["_kept"])
+    one = ngram_join.representatives(docs.repartition(5)).collect()
+    two = ngram_join.representatives(docs.coalesce(1)).collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, two))
+    assert sorted((r.doc_id or 0) for r in one) == [0, 0, 1, 3, 4]
+    assert ngram_join.representatives(docs.limit(0)).collect() == []
+
+
 def test_every_pair_that_links_shares_a_key():
     draw = np.random.default_rng(5)
     for percent in (80, 85):
