@@ -26,7 +26,7 @@ def reporting_pairs(v: Views) -> DataFrame:
 
 @query("communication_graph", "SELECT src, dst FROM arcs")
 def communication_arcs(v: Views) -> DataFrame:
-    return talk_graph(v).arcs.select("src", "dst")
+    return talk_graph(v).named_arcs
 
 
 @query("directed_graph", "SELECT a AS source_key, b AS target_key, weight FROM comm_edges")
@@ -133,7 +133,7 @@ def distances(v: Views) -> DataFrame:
     pairs = L.owner_pairs(v.bundle.edges, owners).select(
         F.col("source_owner_key").alias("a"), F.col("target_owner_key").alias("b")
     )
-    return G.pair_distances(G.communication_graph(v.people_nodes, v.answers.edges), pairs, 4)
+    return G.pair_distances(talk_graph(v), pairs, 4)
 
 
 @query(

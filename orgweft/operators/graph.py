@@ -1,9 +1,15 @@
-"""Path work on the communication graph: level-synchronous DataFrame loops.
-
-State rows are ``(g, s, v)``: run, source, vertex. ``g`` names the variant of the graph
-that is walked (the person taken out, or empty), so several what-ifs share one loop. The
-driver keeps only the level number; each level is one join, one aggregation and one
-stored table.
+"""Path work on the communication graph: level-synchronous DataFrame joins.
+
+Vertices are numbered in the order of their keys, and walks carry numbers only; comparing
+numbers is comparing keys. A walk's state holds every row reached so far. One level joins the
+state to the arcs, among them a loop at each vertex that brings a row's own values along, and
+aggregates by row; so a level uses the state before it once, and a few levels are one job
+without a stored table between them.
+
+Where only "reached or not" matters, 64 sources share a row: one bit each, combined by
+``bit_or``. Distances and single paths of pairs are searched from both ends at once, each half
+as far, and joined in the middle. Where shortest paths are counted, sources are walked in
+blocks; each block is reduced to one value per vertex and its state removed before the next.
 """
 
 from __future__ import annotations
@@ -15,65 +21,98 @@ from pyspark.sql import functions as F
 
 from orgweft.functions.ranking import global_row_number, top_per_group
 from orgweft.operators.normalize import union_all
-from orgweft.session import durable
+from orgweft.session import Scratch, durable, stored
 
-# Above this many arcs the arcs are joined by a shuffle instead of being sent to every task.
+# Above this many arcs (of four numbers each) they are joined by a shuffle instead of being sent to
+# every task.
 BROADCAST_ARCS = 2_000_000
 # Arcs of one vertex that share a join partition; a hub's arcs fill several slots.
 ARCS_PER_SLOT = 10_000
-# Sources walked together; more are walked in blocks, which bounds the state of a level.
-SOURCES_PER_BLOCK = 50_000
+# State rows that the sources of one block may reach together.
+BLOCK_ROWS = 2_000_000_000
+# Rows of 64 sources each that are walked together.
+WORDS_PER_WALK = 50_000
+# Levels that one job takes; beyond, the state is stored.
+LEVELS_PER_JOB = 4
 
 
 @dataclass(frozen=True)
 class Graph:
-    """``arcs``: src, slot, dst, dst_slots (no loops). ``vertices``: v, slots."""
+    """``vertices``: v, no, slots; ``no`` counts from 1 in the order of v. ``arcs``: src, slot,
+    dst, dst_slots by number (no loops). ``named_arcs``: src, dst by key.
+    """
 
     arcs: DataFrame
     vertices: DataFrame
+    named_arcs: DataFrame
     size: int
     small: bool
     directed: bool = False
 
-    def expand(self, frontier: DataFrame) -> DataFrame:
-        """Frontier rows joined to the arcs that leave their vertex.
+    def expand(self, frontier: DataFrame, arcs: DataFrame | None = None, when: Column | None = None) -> DataFrame:
+        """Frontier rows (``v, slots``) joined to the arcs that leave their vertex.
 
         A hub's frontier rows are copied to each of its slots, so no join partition
         holds more than one slot of a vertex.
         """
+        arcs = self.arcs if arcs is None else arcs
+        when = F.lit(True) if when is None else when
         if self.small:
-            return frontier.drop("slots").join(
-                F.broadcast(self.arcs.drop("slot")), F.col("v") == F.col("src")
-            )
+            return frontier.drop("slots").join(F.broadcast(arcs.drop("slot")), (F.col("v") == F.col("src")) & when)
         spread = frontier.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
         return spread.drop("slots").join(
-            self.arcs, (F.col("v") == F.col("src")) & (F.col("at") == F.col("slot"))
+            arcs, (F.col("v") == F.col("src")) & (F.col("at") == F.col("slot")) & when
         ).drop("at", "slot")
 
+    def step(self, state: DataFrame, moving: Column) -> DataFrame:
+        """Each state row once at its own vertex (``own``), and ``moving`` ones at all neighbours
+        (``dst, dst_slots``).
+        """
+        loops = self.vertices.select(
+            F.col("no").alias("src"),
+            F.lit(0).alias("slot"),
+            F.col("no").alias("dst"),
+            F.col("slots").alias("dst_slots"),
+        )
+        own = F.col("src") == F.col("dst")
+        return self.expand(state, self.arcs.unionByName(loops), own | moving).withColumn("own", own)
+
+    def numbers(self, keys: DataFrame, name: str, number: str) -> DataFrame:
+        """``keys`` with the vertex number of a column; keys that are no vertices fall out."""
+        return keys.join(self.vertices.select(F.col("v").alias(name), F.col("no").alias(number)), name)
+
 
 def build_graph(arcs: DataFrame, vertices: DataFrame, *, directed: bool = False) -> Graph:
     """From distinct ``src, dst`` and ``v``. Endpoints without a vertex row are added."""
     plain = arcs.where("src <> dst").select("src", "dst")
     if not directed:
         plain = plain.unionByName(plain.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    plain = durable(plain.distinct())
+    plain = stored(plain.distinct(), "arcs")
     slots = F.ceil(F.count("*") / F.lit(ARCS_PER_SLOT)).cast("int")
     degrees = plain.groupBy(F.col("src").alias("v")).agg(slots.alias("slots"))
     everyone = vertices.select("v").union(plain.select("src")).union(plain.select("dst")).distinct()
-    listed = durable(
-        everyone.join(degrees, "v", "left").select("v", F.coalesce("slots", F.lit(1)).alias("slots"))
+    listed = everyone.join(degrees, "v", "left").select("v", F.coalesce("slots", F.lit(1)).alias("slots"))
+    listed = stored(
+        global_row_number(listed, [F.col("v")], "no").select("v", F.col("no").cast("bigint").alias("no"), "slots"),
+        "vertices",
     )
-    ends = listed.withColumnsRenamed({"v": "dst", "slots": "dst_slots"})
-    hubs = listed.withColumnsRenamed({"v": "src", "slots": "src_slots"})
-    slotted = durable(
+    ends = listed.select(F.col("v").alias("dst"), F.col("no").alias("dst_no"), F.col("slots").alias("dst_slots"))
+    hubs = listed.select(F.col("v").alias("src"), F.col("no").alias("src_no"), F.col("slots").alias("src_slots"))
+    slotted = stored(
         plain.join(hubs, "src")
-        .withColumn("slot", F.pmod(F.xxhash64("dst"), F.col("src_slots")).cast("int"))
         .join(ends, "dst")
-        .select("src", "slot", "dst", "dst_slots")
+        .select(
+            F.col("src_no").alias("src"),
+            F.pmod(F.xxhash64("dst_no"), F.col("src_slots")).cast("int").alias("slot"),
+            F.col("dst_no").alias("dst"),
+            "dst_slots",
+        ),
+        "numbered_arcs",
     )
     return Graph(
         arcs=slotted,
         vertices=listed,
+        named_arcs=plain,
         size=listed.count(),
         small=slotted.count() <= BROADCAST_ARCS,
         directed=directed,
@@ -102,109 +141,80 @@ def resolved_people(nodes: DataFrame) -> DataFrame:
     )
 
 
-# --- breadth-first levels ---------------------------------------------------
+# --- walks that count shortest paths ----------------------------------------
 
 
-def _start(graph: Graph, sources: DataFrame) -> DataFrame:
-    """Level 0 from ``g, s``; sources that are not vertices fall out."""
-    return sources.join(graph.vertices, F.col("s") == F.col("v")).select(
-        "g", "s", "v", "slots", F.lit(1.0).alias("sigma")
-    )
+def all_sources(graph: Graph) -> DataFrame:
+    return graph.vertices.select(F.col("v").alias("s"))
 
 
-def bfs_levels(
-    graph: Graph, sources: DataFrame, max_len: int | None = None
-) -> list[DataFrame]:
-    """Stored levels ``g, s, v, slots, sigma``; sigma counts the shortest paths.
+def _rounds(level: int, last: int | None) -> bool:
+    """Whether the state is stored after a level."""
+    return level % LEVELS_PER_JOB == 0 or level == last
+
 
-    In an undirected graph a neighbour of level d lies on level d-1, d or d+1, so the
-    last two levels are all that must be taken off. A directed walk checks every level.
+def _walk(graph: Graph, sources: DataFrame, shelf: Scratch, max_len: int | None = None) -> tuple[DataFrame, int]:
+    """State ``s, v, slots, d, sigma`` of numbered sources ``s``, and its largest distance.
+
+    ``sigma`` counts the shortest paths from s to v.
     """
     if max_len is not None and max_len <= 0:
         raise ValueError("max_len must be positive")
-    levels = [durable(_start(graph, sources))]
-    while max_len is None or len(levels) <= max_len:
-        reached = (
-            graph.expand(levels[-1])
-            .where(F.col("dst") != F.col("g"))
-            .select("g", "s", F.col("dst").alias("v"), F.col("dst_slots").alias("slots"), "sigma")
-        )
-        seen = union_all(*(levels if graph.directed else levels[-2:])).withColumn(
-            "sigma", F.lit(None).cast("double")
-        )
-        fresh = (
-            reached.withColumn("old", F.lit(0))
-            .unionByName(seen.withColumn("old", F.lit(1)))
-            .groupBy("g", "s", "v")
+    state = sources.join(graph.vertices, F.col("s") == F.col("no")).select(
+        "s", F.col("no").alias("v"), "slots", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")
+    )
+    level = 0
+    while True:
+        state = (
+            graph.step(state, F.col("d") == level)
+            .groupBy("s", F.col("dst").alias("v"))
             .agg(
-                F.max("old").alias("old"),
-                F.max("slots").alias("slots"),
-                F.sum("sigma").alias("sigma"),
+                F.max("dst_slots").alias("slots"),
+                F.min(F.when(F.col("own"), F.col("d"))).alias("d"),
+                F.sum(F.when(F.col("own"), F.col("sigma"))).alias("sigma"),
+                F.sum(F.when(~F.col("own"), F.col("sigma"))).alias("paths"),
             )
-            .where("old = 0")
-            .select("g", "s", "v", "slots", "sigma")
-        )
-        level = durable(fresh)
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return levels
-
-
-def all_sources(graph: Graph) -> DataFrame:
-    return graph.vertices.select(F.lit("").alias("g"), F.col("v").alias("s"))
-
-
-def reached(levels: list[DataFrame]) -> DataFrame:
-    """``g, s, v, distance, sigma`` over all levels."""
-    return union_all(
-        *[level.drop("slots").withColumn("distance", F.lit(d)) for d, level in enumerate(levels)]
-    )
-
-
-def _dependencies(graph: Graph, levels: list[DataFrame]) -> list[DataFrame]:
-    """Backward pass: ``g, s, v, slots, sigma, delta`` for levels 1 and up."""
-    current = levels[-1].withColumn("delta", F.lit(0.0))
-    done = [current]
-    for level in reversed(levels[1:-1]):
-        passed = (
-            graph.expand(current.withColumn("share", (1 + F.col("delta")) / F.col("sigma")))
-            .select("g", "s", F.col("dst").alias("v"), "share")
-        )
-        known = level.withColumn("share", F.lit(None).cast("double"))
-        merged = (
-            known.unionByName(
-                passed.select(
-                    "g",
-                    "s",
-                    "v",
-                    F.lit(None).cast("int").alias("slots"),
-                    F.lit(None).cast("double").alias("sigma"),
-                    "share",
-                )
+            .select(
+                "s",
+                "v",
+                "slots",
+                F.coalesce("d", F.lit(level + 1)).alias("d"),
+                F.coalesce("sigma", "paths").alias("sigma"),
             )
-            .groupBy("g", "s", "v")
-            .agg(F.max("slots").alias("slots"), F.max("sigma").alias("sigma"), F.sum("share").alias("share"))
-            .where("sigma IS NOT NULL")
         )
-        current = durable(
-            merged.select(
-                "g", "s", "v", "slots", "sigma",
-                (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta"),
+        level += 1
+        if _rounds(level, max_len):
+            state = shelf.keep(state, "walk")
+            if level == max_len or state.where(F.col("d") == level).isEmpty():
+                break
+    return state, state.agg(F.coalesce(F.max("d"), F.lit(0))).first()[0]
+
+
+def _dependencies(graph: Graph, state: DataFrame, top: int, shelf: Scratch, keys: tuple[str, ...] = ("s",)) -> DataFrame:
+    """The state with ``delta``: how much of the paths from s to other vertices leads over v."""
+    current = state.withColumn("delta", F.lit(0.0))
+    mine = lambda name: F.max(F.when(F.col("own"), F.col(name))).alias(name)
+    for done, level in enumerate(range(top, 1, -1), 1):
+        share = F.when(~F.col("own"), (1 + F.col("delta")) / F.col("sigma"))
+        current = (
+            graph.step(current, F.col("d") == level)
+            .groupBy(*keys, F.col("dst").alias("v"))
+            .agg(F.max("dst_slots").alias("slots"), mine("d"), mine("sigma"), mine("delta"), F.sum(share).alias("share"))
+            .where("d IS NOT NULL")
+            .select(
+                *keys,
+                "v",
+                "slots",
+                "d",
+                "sigma",
+                F.when(F.col("d") == level - 1, F.col("sigma") * F.coalesce("share", F.lit(0.0)))
+                .otherwise(F.col("delta"))
+                .alias("delta"),
             )
         )
-        done.append(current)
-    return done
-
-
-def _blocks(graph: Graph, sources: DataFrame) -> list[DataFrame]:
-    count = sources.count()
-    blocks = max(1, -(-count // SOURCES_PER_BLOCK))
-    if blocks == 1:
-        return [sources]
-    return [
-        sources.where(F.pmod(F.xxhash64("s"), F.lit(blocks)) == block) for block in range(blocks)
-    ]
+        if done % LEVELS_PER_JOB == 0:
+            current = shelf.keep(current, "dependencies")
+    return current
 
 
 def path_tallies(
@@ -213,24 +223,28 @@ def path_tallies(
     """(``v, tally``, ``pairs, ordered_pairs``): summed path dependencies and pairs reached.
 
     ``tally`` sums over ordered pairs; halve it for unordered ones. ``pairs`` counts
-    unordered pairs with a source at one end.
+    unordered pairs with a source at one end. Each block of sources leaves one row per vertex.
     """
-    tallies, pairs = [], []
-    is_source = sources.select(F.col("s").alias("v")).distinct().withColumn("mine", F.lit(1))
-    for block in _blocks(graph, sources):
-        levels = bfs_levels(graph, block, max_len)
-        if len(levels) > 1:
-            deltas = _dependencies(graph, levels)
-            tallies.append(union_all(*[d.select("v", "delta") for d in deltas]))
-            pairs.append(union_all(*[level.select("s", "v") for level in levels[1:]]))
-    if not tallies:
-        nothing = graph.vertices.where(F.lit(False))
-        tallies = [nothing.select("v", F.lit(0.0).alias("delta"))]
-        pairs = [nothing.select(F.col("v").alias("s"), "v")]
-    tally = union_all(*tallies).groupBy("v").agg(F.sum("delta").alias("tally"))
+    spark = graph.vertices.sparkSession
+    numbered = stored(graph.numbers(sources.select("s").distinct(), "s", "no").select(F.col("no").alias("s")), "sources")
+    blocks = max(1, -(-numbered.count() // max(1, BLOCK_ROWS // max(1, graph.size))))
+    found = []
+    for block in range(blocks):
+        own = numbered if blocks == 1 else numbered.where(F.pmod("s", F.lit(blocks)) == block)
+        with Scratch(spark) as shelf:
+            state, top = _walk(graph, own, shelf, max_len)
+            deltas = _dependencies(graph, state, top, shelf).where("d > 0")
+            found.append(
+                stored(deltas.groupBy("v").agg(F.sum("delta").alias("tally"), F.count("*").alias("n")), "tally")
+            )
+    summed = union_all(*found).groupBy("v").agg(F.sum("tally").alias("tally"), F.sum("n").alias("n"))
+    names = graph.vertices.select("v", "no")
+    tally = summed.join(names.withColumnRenamed("v", "key"), F.col("v") == F.col("no")).select(
+        F.col("key").alias("v"), "tally"
+    )
     # A pair of two sources is met from both ends; a pair with one source only once.
-    met = union_all(*pairs).groupBy("v").agg(F.count("*").alias("n"))
-    count = met.join(is_source, "v", "left").agg(
+    is_source = numbered.select(F.col("s").alias("v"), F.lit(1).alias("mine"))
+    count = summed.join(is_source, "v", "left").agg(
         F.coalesce(
             F.sum(F.when(F.col("mine") == 1, F.col("n") / 2).otherwise(F.col("n"))), F.lit(0)
         )
@@ -262,36 +276,27 @@ def betweenness_bounded(graph: Graph, sources: DataFrame, max_len: int) -> DataF
 def length_sweep(graph: Graph, lengths: range, top: int, baseline: int = 4) -> DataFrame:
     """Per bound: pairs reached, the first people, overlap of the first ``top`` with the baseline.
 
-    One forward walk serves every bound; the backward pass starts from each bound's level.
+    One forward walk serves every bound, and one backward pass carries the bounds side by side.
     """
-    levels = bfs_levels(graph, all_sources(graph), max(lengths))
-    frames = []
-    for bound in lengths:
-        part = levels[: bound + 1]
-        deltas = (
-            union_all(*[d.select("v", "delta") for d in _dependencies(graph, part)])
-            if len(part) > 1
-            else graph.vertices.select("v", F.lit(0.0).alias("delta"))
-        )
-        tally = deltas.groupBy("v").agg(F.sum("delta").alias("tally"))
-        ranked = graph.vertices.select("v").join(tally, "v", "left").select(
-            F.lit(bound).alias("max_len"), "v", F.round(F.coalesce("tally", F.lit(0.0)) / 2, 6).alias("tally")
-        )
-        frames.append(
-            ranked.orderBy(F.desc("tally"), "v").limit(top)
+    every = F.array(*[F.lit(bound) for bound in lengths])
+    within = F.filter(every, lambda bound: bound >= F.col("d"))
+    with Scratch(graph.vertices.sparkSession) as shelf:
+        numbered = graph.vertices.select(F.col("no").alias("s"))
+        state, deepest = _walk(graph, numbered, shelf, max(lengths))
+        pairs = stored(
+            state.where("s < v").groupBy("d").agg(F.count("*").alias("n")), "pairs_by_distance"
         )
-    firsts = durable(union_all(*frames))
-    pairs = (
-        reached(levels)
-        .where("s < v")
-        .groupBy("distance")
-        .agg(F.count("*").alias("n"))
+        runs = state.withColumn("max_len", F.explode(within))
+        deltas = _dependencies(graph, runs, deepest, shelf, ("max_len", "s")).where("d > 0")
+        tally = stored(deltas.groupBy("max_len", "v").agg(F.sum("delta").alias("tally")), "tallies")
+    everyone = graph.vertices.select(F.col("v").alias("key"), F.col("no").alias("v"), F.explode(every).alias("max_len"))
+    ranked = everyone.join(tally, ["max_len", "v"], "left").select(
+        "max_len", F.col("key").alias("v"), F.round(F.coalesce("tally", F.lit(0.0)) / 2, 6).alias("tally")
     )
-    every = F.array(*[F.lit(bound) for bound in lengths])
-    counted = pairs.withColumn("bounds", every).select(
-        F.explode(F.filter("bounds", lambda b: b >= F.col("distance"))).alias("max_len"), "n"
+    firsts = durable(top_per_group(ranked, ["max_len"], [F.desc("tally"), F.asc("v")], top))
+    totals = pairs.select(F.explode(within).alias("max_len"), "n").groupBy("max_len").agg(
+        F.sum("n").alias("reachable_pairs")
     )
-    totals = counted.groupBy("max_len").agg(F.sum("n").alias("reachable_pairs"))
     base = firsts.where(F.col("max_len") == baseline).select("v")
     shared = firsts.join(base, "v", "left_semi").groupBy("max_len").agg(F.count("*").alias("shared"))
     sizes = firsts.groupBy("max_len").agg(F.min_by("v", F.struct(-F.col("tally"), "v")).alias("top_1"))
@@ -308,141 +313,262 @@ def length_sweep(graph: Graph, lengths: range, top: int, baseline: int = 4) -> D
     )
 
 
-# --- distances, paths -------------------------------------------------------
+# --- 64 sources a row -------------------------------------------------------
 
 
-def pair_distances(graph: Graph, pairs: DataFrame, max_len: int) -> DataFrame:
-    """``a, b, distance`` for unordered pairs (a <= b); null beyond ``max_len`` hops.
+def _word(number: str) -> Column:
+    return F.expr(f"{number} div 64").alias("word")
 
-    Each distinct source is walked once, whatever the number of its pairs.
-    """
-    wanted = durable(
-        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    sources = wanted.select(F.lit("").alias("g"), F.col("a").alias("s")).distinct()
-    met = reached(bfs_levels(graph, sources, max_len)).select(
-        F.col("s").alias("a"), F.col("v").alias("b"), "distance"
-    )
-    return wanted.join(met, ["a", "b"], "left")
 
+def _bit(number: str) -> Column:
+    return F.expr(f"shiftleft(1L, CAST({number} % 64 AS INT))")
 
-def first_bridges(graph: Graph, pairs: DataFrame, max_len: int = 4) -> DataFrame:
-    """``a, b, path``: the shortest path that a walk over sorted neighbours finds first.
 
-    Within a level the smallest path array per vertex is that path.
+def _reach(graph: Graph, sources: DataFrame, radius: int) -> DataFrame:
+    """``g, word, v, slots, l0..l<radius>``: which sources of a word have v at each distance.
+
+    ``sources``: g (number of a vertex that is not walked, or 0) and s.
     """
-    wanted = durable(pairs.select("a", "b").distinct())
-    start = wanted.select(F.col("a").alias("s")).distinct()
-    level = durable(
-        start.join(graph.vertices, F.col("s") == F.col("v")).select(
-            "s", "v", "slots", F.array("v").alias("path")
-        )
+    state = (
+        sources.where("g <> s")
+        .join(graph.vertices.select(F.col("no").alias("s"), "slots"), "s")
+        .select("g", _word("s"), F.col("s").alias("v"), "slots", _bit("s").alias("l0"))
     )
-    levels = [level]
-    while len(levels) <= max_len:
-        found = graph.expand(levels[-1]).select(
-            "s",
-            F.col("dst").alias("v"),
-            F.col("dst_slots").alias("slots"),
-            F.concat("path", F.array("dst")).alias("path"),
-        )
-        seen = union_all(*(levels if graph.directed else levels[-2:])).withColumn(
-            "path", F.lit(None).cast("array<string>")
-        )
-        fresh = durable(
-            found.withColumn("old", F.lit(0))
-            .unionByName(seen.withColumn("old", F.lit(1)))
-            .groupBy("s", "v")
+    for level in range(radius):
+        done = [f"l{n}" for n in range(level + 1)]
+        seen = F.lit(0).cast("bigint")
+        for name in done:
+            seen = seen.bitwiseOR(F.coalesce(name, F.lit(0).cast("bigint")))
+        state = (
+            graph.step(state, (F.col(done[-1]) != 0) & (F.col("dst") != F.col("g")))
+            .groupBy("g", "word", F.col("dst").alias("v"))
             .agg(
-                F.max("old").alias("old"), F.max("slots").alias("slots"), F.min("path").alias("path")
+                F.max("dst_slots").alias("slots"),
+                *[F.bit_or(F.when(F.col("own"), F.col(name))).alias(name) for name in done],
+                F.bit_or(F.when(~F.col("own"), F.col(done[-1]))).alias("new"),
+            )
+            .select(
+                "g",
+                "word",
+                "v",
+                "slots",
+                *[F.coalesce(name, F.lit(0).cast("bigint")).alias(name) for name in done],
+                F.coalesce("new", F.lit(0).cast("bigint")).bitwiseAND(F.bitwise_not(seen)).alias(f"l{level + 1}"),
             )
-            .where("old = 0")
-            .select("s", "v", "slots", "path")
         )
-        if fresh.isEmpty():
-            break
-        levels.append(fresh)
-    met = union_all(*levels).select(F.col("s").alias("a"), F.col("v").alias("b"), "path")
-    return wanted.join(met, ["a", "b"], "left")
+    return state
 
 
-def all_shortest_paths(
-    graph: Graph, pairs: DataFrame, max_len: int, backward: Graph | None = None
+def reachable_pairs(
+    graph: Graph, max_len: int, removed: DataFrame | None = None, endpoints: DataFrame | None = None
 ) -> DataFrame:
-    """``a, b, path``: every shortest path of each pair within ``max_len`` hops.
+    """``g, pairs``: unordered pairs joined within ``max_len`` hops.
 
-    Only vertices at the right distance from the far end are stepped on, so no partial
-    path is carried that does not arrive. ``backward`` is the reversed graph when the
-    graph is directed.
+    ``removed`` (column ``g``) gives one variant of the graph per person taken out; the
+    empty ``g`` is the whole graph. ``endpoints`` (column ``v``) limits the pairs' ends,
+    not the paths between them. The graph must be undirected: each pair is met from both ends.
     """
-    wanted = durable(pairs.select("a", "b").distinct())
-    ends = wanted.select(F.lit("").alias("g"), F.col("b").alias("s")).distinct()
-    to_end = durable(
-        reached(bfs_levels(backward or graph, ends, max_len)).select(
-            F.col("s").alias("b"), "v", F.col("distance").alias("left_over")
+    if max_len <= 0:
+        raise ValueError("max_len must be positive")
+    ends = graph.vertices.select(F.col("no").alias("s"))
+    if endpoints is not None:
+        ends = graph.numbers(endpoints.select("v").distinct(), "v", "s").select("s")
+    if removed is None:
+        variants = graph.arcs.sparkSession.range(1).select(F.lit("").alias("g"), F.lit(0).cast("bigint").alias("no"))
+        sources, copies = ends.select(F.lit(0).cast("bigint").alias("g"), "s"), 1
+    else:
+        known = graph.vertices.select(F.col("v").alias("g"), "no")
+        variants = removed.select("g").distinct().join(known, "g", "left").select(
+            "g", F.coalesce("no", F.lit(0)).alias("no")
         )
+        variants = stored(variants, "variants")
+        # One copy of the sources per removed person: the variants asked for, not a product
+        # of two data sets.
+        out = variants.agg(F.collect_set("no").alias("gs")).select("gs").scalar()
+        sources, copies = ends.select(F.explode(out).alias("g"), "s"), variants.count()
+    walks = max(1, -(-(graph.size // 64 + 1) * copies // WORDS_PER_WALK))
+    counts = []
+    for walk in range(walks):
+        own = sources if walks == 1 else sources.where(F.pmod(F.expr("s div 64"), F.lit(walks)) == walk)
+        met = _reach(graph, own, max_len)
+        if endpoints is not None:
+            met = met.join(ends.withColumnRenamed("s", "v"), "v", "left_semi")
+        reached = F.lit(0)
+        for level in range(1, max_len + 1):
+            reached = reached + F.bit_count(f"l{level}")
+        part = met.groupBy("g").agg(F.sum(reached).alias("n"))
+        counts.append(part if walks == 1 else stored(part, "reached"))
+    summed = union_all(*counts).groupBy(F.col("g").alias("no")).agg((F.sum("n") / 2).cast("bigint").alias("pairs"))
+    return variants.join(summed, "no", "left").select(
+        "g", F.coalesce("pairs", F.lit(0).cast("bigint")).alias("pairs")
     )
-    rows = (
-        wanted.join(to_end.withColumnRenamed("v", "a"), ["a", "b"])
-        .join(graph.vertices.withColumnRenamed("v", "at"), F.col("a") == F.col("at"))
-        .select(
-            "a", "b", F.col("a").alias("v"), "slots", "left_over", F.array("a").alias("path")
-        )
+
+
+# --- distances and paths of pairs -------------------------------------------
+
+
+def pair_distances(graph: Graph, pairs: DataFrame, max_len: int) -> DataFrame:
+    """``a, b, distance`` for unordered pairs (a <= b) of an undirected graph; null beyond
+    ``max_len`` hops.
+
+    Both ends are walked half as far, 64 ends to a row, and meet at the vertices that both
+    reach; the smallest sum of two distances is the distance.
+    """
+    if max_len <= 0:
+        raise ValueError("max_len must be positive")
+    wanted = stored(
+        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"
     )
-    finished = []
-    for _hop in range(max_len + 1):
-        rows = durable(rows)
-        finished.append(rows.where("left_over = 0").select("a", "b", "path"))
-        moving = rows.where("left_over > 0")
-        if moving.isEmpty():
-            break
-        step = graph.expand(moving.withColumnRenamed("left_over", "before")).select(
-            "a", "b", F.col("dst").alias("v"), F.col("dst_slots").alias("slots"), "path", "before"
+    keyed = stored(
+        graph.numbers(graph.numbers(wanted, "a", "s"), "b", "t").select(
+            "a", "b", "s", "t", _word("s"), _bit("s").alias("bit")
+        ),
+        "numbered_pairs",
+    )
+    near, far = max_len - max_len // 2, max_len // 2
+    side = lambda name, radius: _reach(
+        graph, keyed.select(F.lit(0).cast("bigint").alias("g"), F.col(name).alias("s")).distinct(), radius
+    )
+    merged = lambda state, radius: state.groupBy("word", "v").agg(
+        *[F.bit_or(f"l{n}").alias(f"l{n}") for n in range(radius + 1)]
+    )
+    from_s = merged(side("s", near), near)
+    # The far side one row per end again: its distance to a vertex picks the level of the near side.
+    places = F.expr("sequence(0, 63)")
+    levels = F.array(*[F.struct(F.lit(n).alias("dt"), F.col(f"l{n}").alias("bits")) for n in range(far + 1)])
+    from_t = (
+        merged(side("t", far), far)
+        .select("word", "v", F.explode(levels).alias("x"))
+        .where("x.bits <> 0")
+        .select("word", "v", "x.*", F.explode(places).alias("place"))
+        .where("shiftright(bits, place) & 1 = 1")
+        .select((F.col("word") * 64 + F.col("place")).alias("t"), "v", "dt")
+    )
+    asked = keyed.groupBy("t", "word").agg(F.bit_or("bit").alias("bits"))
+    at = F.array(*[F.col(f"l{n}") for n in range(near + 1)])
+    met = (
+        asked.join(from_t, "t")
+        .join(from_s, ["word", "v"])
+        .groupBy("t", "word")
+        .agg(
+            *[
+                F.bit_or(F.get(at, F.lit(total) - F.col("dt")).bitwiseAND(F.col("bits"))).alias(f"d{total}")
+                for total in range(max_len + 1)
+            ]
         )
-        rows = (
-            step.join(to_end, ["b", "v"])
-            .where(F.col("left_over") == F.col("before") - 1)
+    )
+    distance = F.coalesce(
+        *[F.when(F.col(f"d{total}").bitwiseAND(F.col("bit")) != 0, F.lit(total)) for total in range(max_len + 1)]
+    )
+    found = keyed.join(met, ["t", "word"]).select("a", "b", distance.alias("distance"))
+    return wanted.join(found, ["a", "b"], "left")
+
+
+def _named(graph: Graph, paths: DataFrame) -> DataFrame:
+    """``a, b, path`` by key, from distinct ``path`` arrays of numbers."""
+    steps = paths.select("path", F.posexplode("path").alias("place", "no"))
+    return (
+        steps.join(graph.vertices.select("no", "v"), "no")
+        .groupBy("path")
+        .agg(F.sort_array(F.collect_list(F.struct("place", "v"))).alias("x"))
+        .select(F.col("x.v").alias("path"))
+        .select(F.get("path", F.lit(0)).alias("a"), F.element_at("path", -1).alias("b"), "path")
+    )
+
+
+def _first_paths(graph: Graph, ends: DataFrame, radius: int, towards: bool) -> DataFrame:
+    """``s, v, d, path``: the smallest of the shortest paths from s to v, or from v ``towards`` s."""
+    state = ends.join(graph.vertices, F.col("s") == F.col("no")).select(
+        "s", F.col("no").alias("v"), "slots", F.lit(0).alias("d"), F.array("no").alias("path")
+    )
+    for level in range(radius):
+        here = F.array("dst")
+        longer = F.concat(here, "path") if towards else F.concat("path", here)
+        state = (
+            graph.step(state, F.col("d") == level)
+            .groupBy("s", F.col("dst").alias("v"))
+            .agg(
+                F.max("dst_slots").alias("slots"),
+                F.min(F.when(F.col("own"), F.col("d"))).alias("d"),
+                F.min(F.when(F.col("own"), F.col("path"))).alias("path"),
+                F.min(F.when(~F.col("own"), longer)).alias("longer"),
+            )
             .select(
-                "a", "b", "v", "slots", "left_over", F.concat("path", F.array("v")).alias("path")
+                "s",
+                "v",
+                "slots",
+                F.coalesce("d", F.lit(level + 1)).alias("d"),
+                F.coalesce("path", "longer").alias("path"),
             )
         )
-    return union_all(*finished)
+    return state
 
 
-# --- reachability -----------------------------------------------------------
+def first_bridges(graph: Graph, pairs: DataFrame, max_len: int = 4) -> DataFrame:
+    """``a, b, path``: the shortest path that a walk over sorted neighbours finds first, null
+    beyond ``max_len`` hops. The graph must be undirected.
 
+    That path is the smallest of the shortest ones. It is made of two halves, each the smallest
+    between its end and the vertex where they meet.
+    """
+    if max_len <= 0:
+        raise ValueError("max_len must be positive")
+    wanted = stored(pairs.select("a", "b").distinct(), "pairs")
+    keyed = stored(graph.numbers(graph.numbers(wanted, "a", "s"), "b", "t").select("s", "t"), "numbered_pairs")
+    start = _first_paths(graph, keyed.select("s").distinct(), max_len - max_len // 2, False)
+    end = _first_paths(graph, keyed.select(F.col("t").alias("s")).distinct(), max_len // 2, True)
+    met = (
+        keyed.join(start.select("s", "v", F.col("d").alias("ds"), F.col("path").alias("head")), "s")
+        .join(end.select(F.col("s").alias("t"), "v", F.col("d").alias("dt"), F.col("path").alias("tail")), ["t", "v"])
+        .groupBy("s", "t")
+        .agg(
+            F.min(
+                F.struct(
+                    (F.col("ds") + F.col("dt")).alias("d"),
+                    F.concat("head", F.slice("tail", 2, F.size("tail"))).alias("path"),
+                )
+            ).alias("best")
+        )
+    )
+    return wanted.join(_named(graph, met.select(F.col("best.path").alias("path"))), ["a", "b"], "left")
 
-def reachable_pairs(
-    graph: Graph, max_len: int, removed: DataFrame | None = None, endpoints: DataFrame | None = None
+
+def all_shortest_paths(
+    graph: Graph, pairs: DataFrame, max_len: int, backward: Graph | None = None
 ) -> DataFrame:
-    """``g, pairs``: unordered pairs joined within ``max_len`` hops.
+    """``a, b, path``: every shortest path of each pair within ``max_len`` hops.
 
-    ``removed`` (column ``g``) gives one variant of the graph per person taken out; the
-    empty ``g`` is the whole graph. ``endpoints`` (column ``v``) limits the pairs' ends,
-    not the paths between them.
+    Only vertices at the right distance from the far end are stepped on, so no partial
+    path is carried that does not arrive. ``backward`` is the reversed graph when the
+    graph is directed; it must have the same vertices.
     """
-    runs = graph.vertices.select(F.col("v").alias("s"))
-    if removed is None:
-        sources = runs.select(F.lit("").alias("g"), "s")
-        variants = graph.arcs.sparkSession.range(1).select(F.lit("").alias("g"))
-    else:
-        variants = removed.select("g").distinct()
-        # One copy of the sources per removed person: the variants asked for, not a product
-        # of two data sets.
-        people = variants.agg(F.collect_set("g").alias("gs")).select("gs").scalar()
-        sources = runs.select(F.explode(people).alias("g"), "s").where("g <> s")
-    total = None
-    for block in _blocks(graph, sources):
-        met = reached(bfs_levels(graph, block, max_len)).where("s < v")
-        if endpoints is not None:
-            ends = endpoints.select("v")
-            met = met.join(ends, "v", "left_semi").join(
-                ends.withColumnRenamed("v", "s"), "s", "left_semi"
+    wanted = stored(pairs.select("a", "b").distinct(), "pairs")
+    keyed = stored(graph.numbers(graph.numbers(wanted, "a", "s"), "b", "t").select("s", "t"), "numbered_pairs")
+    finished = []
+    with Scratch(graph.vertices.sparkSession) as shelf:
+        state, _ = _walk(backward or graph, keyed.select(F.col("t").alias("s")).distinct(), shelf, max_len)
+        to_end = state.select(F.col("s").alias("t"), "v", F.col("d").alias("left_over"))
+        rows = (
+            keyed.withColumnRenamed("s", "v")
+            .join(to_end, ["t", "v"])
+            .join(graph.vertices.select(F.col("no").alias("v"), "slots"), "v")
+            .select("t", "v", "slots", "left_over", F.array("v").alias("path"))
+        )
+        for _hop in range(max_len + 1):
+            rows = shelf.keep(rows, "paths")
+            finished.append(stored(rows.where("left_over = 0").select("path"), "arrived"))
+            moving = rows.where("left_over > 0")
+            if moving.isEmpty():
+                break
+            step = graph.expand(moving.withColumnRenamed("left_over", "before")).select(
+                "t", F.col("dst").alias("v"), F.col("dst_slots").alias("slots"), "path", "before"
+            )
+            rows = (
+                step.join(to_end, ["t", "v"])
+                .where(F.col("left_over") == F.col("before") - 1)
+                .select("t", "v", "slots", "left_over", F.concat("path", F.array("v")).alias("path"))
             )
-        counts = met.groupBy("g").agg(F.count("*").alias("pairs"))
-        total = counts if total is None else total.unionByName(counts)
-    summed = total.groupBy("g").agg(F.sum("pairs").alias("pairs"))
-    return variants.join(summed, "g", "left").select("g", F.coalesce("pairs", F.lit(0)).alias("pairs"))
+    return _named(graph, union_all(*finished))
 
 
 # --- sampling ---------------------------------------------------------------
@@ -499,9 +625,8 @@ def sampled_pairs(graph: Graph, seed: int, size: int) -> DataFrame:
         "hi", F.when(base > F.col("number"), F.col("hi") - 1).otherwise(F.col("hi"))
     )
     placed = placed.withColumn("lo", (F.col("number") - F.expr("hi * (hi - 1) / 2")).cast("bigint"))
-    named = durable(global_row_number(graph.vertices.select("v"), [F.col("v")], "place"))
-    low = named.select(F.col("v").alias("a"), (F.col("place") - 1).alias("lo"))
-    top = named.select(F.col("v").alias("b"), (F.col("place") - 1).alias("hi"))
+    low = graph.vertices.select(F.col("v").alias("a"), (F.col("no") - 1).alias("lo"))
+    top = graph.vertices.select(F.col("v").alias("b"), (F.col("no") - 1).alias("hi"))
     return durable(placed.join(low, "lo").join(top, "hi").select("a", "b"))
 
 

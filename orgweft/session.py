@@ -80,3 +80,44 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, store = _place(spark, path)
+    return store.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    place, store = _place(spark, path)
+    store.delete(place, True)
+
+
+class Scratch:
+    """Stored steps of one piece of work, removed together at its end.
+
+    Nothing that is read after the ``with`` block may still depend on them.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_error: object) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written once and read again, like ``stored``."""
+        path = shared_folder(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -49,7 +49,8 @@ def test_against_brute_force(spark, monkeypatch, small):
     if not small:
         monkeypatch.setattr(G, "BROADCAST_ARCS", 0)
         monkeypatch.setattr(G, "ARCS_PER_SLOT", 2)
-        monkeypatch.setattr(G, "SOURCES_PER_BLOCK", 5)
+        monkeypatch.setattr(G, "BLOCK_ROWS", 70)
+        monkeypatch.setattr(G, "LEVELS_PER_JOB", 1)
     names, pairs = make(3)
     near = neighbours(names, pairs)
     graph = frames(spark, names, pairs)
@@ -118,3 +119,58 @@ def test_removed_people(spark):
     removed = spark.createDataFrame([("b",), ("c",)], "g STRING")
     got = {r["g"]: r["pairs"] for r in G.reachable_pairs(graph, 4, removed).collect()}
     assert got == {"b": 3, "c": 2}
+
+
+@pytest.mark.parametrize("words", [50_000, 1])
+def test_more_sources_than_a_word_holds(spark, monkeypatch, words):
+    """Bits of several words, walked together or one after the other."""
+    monkeypatch.setattr(G, "WORDS_PER_WALK", words)
+    names, pairs = make(8, n=150, p=0.012)
+    near = neighbours(names, pairs)
+    graph = frames(spark, names, pairs)
+    walks = {s: shortest(near, s)[0] for s in names}
+    some = names[::3]
+    for bound in (1, 3):
+        close = [(a, b) for a, b in combinations(names, 2) if walks[a].get(b, 99) <= bound]
+        assert G.reachable_pairs(graph, bound).first()["pairs"] == len(close)
+        ends = spark.createDataFrame([(v,) for v in some], "v STRING")
+        expected = sum(a in some and b in some for a, b in close)
+        assert G.reachable_pairs(graph, bound, endpoints=ends).first()["pairs"] == expected
+    gone = ["v07", "v149", "v00"]
+    removed = spark.createDataFrame([(g,) for g in [*gone, "nobody"]], "g STRING")
+    got = {r["g"]: r["pairs"] for r in G.reachable_pairs(graph, 3, removed).collect()}
+    for g in [*gone, "nobody"]:
+        left = {v: near[v] - {g} for v in names if v != g}
+        dist = {s: shortest(left, s)[0] for s in left}
+        assert got[g] == sum(dist[a].get(b, 99) <= 3 for a, b in combinations(sorted(left), 2))
+    asked = spark.createDataFrame([*combinations(names, 2), ("v03", "v03"), ("v03", "x"), ("x", "x")], "a STRING, b STRING")
+    for bound in (1, 4, 5):
+        rows = G.pair_distances(graph, asked, bound).collect()
+        assert len(rows) == 150 * 149 // 2 + 3
+        for row in rows:
+            d = walks.get(row["a"], {}).get(row["b"], 99)
+            assert row["distance"] == (d if d <= bound else None)
+
+
+def test_sweep_of_bounds(spark):
+    names, pairs = make(4, n=16, p=0.15)
+    graph = frames(spark, names, pairs)
+    got = {r["max_len"]: r for r in G.length_sweep(graph, range(1, 5), 3, 2).collect()}
+    sources = G.all_sources(graph)
+    for bound in range(1, 5):
+        assert got[bound]["reachable_pairs"] == G.reachable_pairs(graph, bound).first()["pairs"]
+        tally = {r["v"]: round(r["tally"], 6) for r in G.path_tallies(graph, sources, bound)[0].collect()}
+        assert got[bound]["top_1"] == min(names, key=lambda v: (-tally.get(v, 0), v))
+    assert got[2]["overlap"] == 1.0
+
+
+def test_graph_without_arcs(spark):
+    graph = G.build_graph(
+        spark.createDataFrame([], "src STRING, dst STRING"), spark.createDataFrame([("a",), ("b",)], "v STRING")
+    )
+    asked = spark.createDataFrame([("a", "b")], "a STRING, b STRING")
+    assert {r["v"]: r["centrality"] for r in G.betweenness_exact(graph).collect()} == {"a": 0.0, "b": 0.0}
+    assert G.reachable_pairs(graph, 4).first()["pairs"] == 0
+    assert G.pair_distances(graph, asked, 4).first()["distance"] is None
+    assert G.first_bridges(graph, asked, 4).first()["path"] is None
+    assert G.all_shortest_paths(graph, asked, 4).collect() == []
