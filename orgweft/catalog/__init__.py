@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orgweft.catalog import evaluation, graphs, ingest, lenses, reviews  # noqa: F401
+from orgweft.catalog import evaluation, files, graphs, ingest, lenses, reviews  # noqa: F401
 from orgweft.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

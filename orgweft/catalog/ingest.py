@@ -15,7 +15,7 @@ from orgweft.operators import gaps as GAP
 from orgweft.operators import identity as I
 from orgweft.operators import normalize as N
 from orgweft.operators import validate as V
-from orgweft.plans.bundle import Bundle, canonicalize, ingest_summary
+from orgweft.plans.bundle import Bundle, canonicalize, complete, ingest_summary
 from orgweft.plans.load import export_maps
 from orgweft.plans.snapshot import read_snapshot, write_snapshot
 from orgweft.session import shared_folder
@@ -232,13 +232,14 @@ def _talk_columns(records: DataFrame) -> DataFrame:
 @query(
     "slack_records",
     r"""WITH x AS (
-          SELECT c.id, c.t, c.author, p.author AS recipient, 'reply' AS kind
+          SELECT c.id, c.t, c.author, p.author AS recipient, 'reply' AS kind, '' AS tail
           FROM chat c JOIN chat p ON p.id = c.parent WHERE p.author <> c.author
           UNION ALL
-          SELECT id, t, author, m, 'mention' FROM (
-              SELECT DISTINCT id, t, author, unnest(regexp_extract_all(text, '<@([^>|]+)', 1)) AS m FROM chat)
+          SELECT id, t, author, m, 'mention', CASE WHEN m = answered THEN ':mention' ELSE '' END FROM (
+              SELECT DISTINCT c.id, c.t, c.author, p.author AS answered, unnest(regexp_extract_all(c.text, '<@([^>|]+)', 1)) AS m
+              FROM chat c LEFT JOIN chat p ON p.id = c.parent)
           WHERE m <> author)
-       SELECT 'slack:' || id || ':communication:' || recipient AS external_id, t AS occurred_at_epoch,
+       SELECT 'slack:' || id || ':communication:' || recipient || tail AS external_id, t AS occurred_at_epoch,
               author AS sender, recipient, kind,
               sha256('slack' || chr(10) || id || chr(10) || author || chr(10) || recipient || chr(10) || kind) AS content_sha256
        FROM x""",
@@ -658,7 +659,7 @@ def integrity(v: Views) -> DataFrame:
         _pricey(v).select(F.concat(F.lit("module-"), F.col("module")).alias("external_id")), "external_id", "left_semi"
     ).select(*v.modules.columns)
     base = canonicalize(N.union_all(v.people, v.teams, declared, v.artifact_records), DATASET)
-    return V.bundle_violations(base)
+    return base.quarantine.select("key", "rule").unionByName(V.bundle_violations(base))
 
 
 @query(
@@ -690,6 +691,10 @@ def record_checks(v: Views) -> DataFrame:
 )
 def contract_checks(v: Views) -> DataFrame:
     """Contracts spoiled by the length of their conversation."""
+    return V.contract_violations(_spoiled_contracts(v))
+
+
+def _spoiled_contracts(v: Views) -> DataFrame:
     longest = v.table("conversations").groupBy(
         F.concat(F.lit("contract:conv-"), F.col("conv_id").cast("string")).alias("contract_id")
     ).agg(F.max("turn").alias("last"))
@@ -698,8 +703,7 @@ def contract_checks(v: Views) -> DataFrame:
         .when(F.col("last") < 3, F.slice("steps", 1, 1))
         .otherwise(F.col("steps"))
     )
-    spoiled = v.contracts.join(longest, "contract_id").withColumn("steps", steps)
-    return V.contract_violations(spoiled)
+    return v.contracts.join(longest, "contract_id").withColumn("steps", steps)
 
 
 @query(
@@ -710,15 +714,61 @@ def contract_checks(v: Views) -> DataFrame:
 )
 def derivation_checks(v: Views) -> DataFrame:
     """Talk whose kind is not one of the known three."""
+    found = V.derivation_violations(canonicalize(_with_unknown_kind(v), DATASET).evidence)
+    return found.select(F.regexp_replace("key", r"-[^-]*$", "").alias("key"), "rule")
+
+
+def _with_unknown_kind(v: Views) -> DataFrame:
     kind = F.col("meta.interaction_kind")
-    renamed = v.talk.withColumn(
+    return v.talk.withColumn(
         "meta",
         F.col("meta").withField(
             "interaction_kind", F.when(kind == "email", F.lit("phone")).otherwise(kind)
         ),
     )
-    found = V.derivation_violations(canonicalize(renamed, DATASET).evidence)
-    return found.select(F.regexp_replace("key", r"-[^-]*$", "").alias("key"), "rule")
+
+
+@query(
+    "quarantine",
+    """SELECT 'evidence' AS stage, 'directory/' || id AS key, 'record is stated in different ways' AS rule FROM people WHERE s_suppkey % 10 = 3
+       UNION ALL SELECT 'nodes', key, 'node is stated in different ways' FROM people WHERE s_suppkey % 10 = 4
+       UNION ALL SELECT 'edges', 'reporting:' || id || ':s' || (s_suppkey - 4), 'endpoint is missing' FROM people WHERE s_suppkey % 10 = 4""",
+)
+def quarantine(v: Views) -> DataFrame:
+    """People stated anew: by the same record with another time, by another source with another rank."""
+    number = F.substring("external_id", 2, 20).cast("bigint")
+    again = v.people.where(number % 10 == 3).withColumn("occurred_at_epoch", F.col("occurred_at_epoch") + 1)
+    other = v.people.where(number % 10 == 4).withColumn("source", F.lit("payroll")).withColumn(
+        "meta", F.col("meta").withField("role_rank", F.col("meta.role_rank") + 1)
+    )
+    return canonicalize(N.union_all(v.people, v.people, again, other), DATASET).quarantine
+
+
+@query(
+    "quarantine_derived",
+    """SELECT 'derivation' AS stage, 'talk/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key,
+              'interaction kind is unknown' AS rule
+       FROM lineitem, n WHERE l_returnflag = 'N' AND l_suppkey <> l_partkey % n
+       UNION ALL SELECT 'contracts', 'contract:conv-' || conv_id, 'ordinals must increase' FROM conversations GROUP BY conv_id HAVING max(turn) >= 5
+       UNION ALL SELECT 'contracts', 'contract:conv-' || conv_id, 'at least two steps' FROM conversations GROUP BY conv_id HAVING max(turn) < 3
+       UNION ALL SELECT 'kept', 'COMMUNICATES', CAST(sum(q) AS VARCHAR) FROM comm WHERE kind <> 'email'
+       UNION ALL SELECT 'kept', 'contracts', CAST(count(DISTINCT contract) AS VARCHAR) FROM preceded
+         WHERE contract IN (SELECT 'contract:conv-' || conv_id FROM conversations GROUP BY conv_id HAVING max(turn) BETWEEN 3 AND 4)""",
+)
+def quarantine_derived(v: Views) -> DataFrame:
+    """What ``complete`` sets aside, and what it still makes of the rest."""
+    base = canonicalize(N.union_all(v.people, v.modules, v.thread_records, _with_unknown_kind(v)), DATASET)
+    whole = complete(base, _spoiled_contracts(v))
+    words = whole.of_type("COMMUNICATES").agg(F.sum("props.weight").cast("string").alias("rule"))
+    chains = whole.of_type("PRECEDED_BY").select(F.regexp_extract("canonical_key", r"conv-\d+", 0).alias("c"))
+    shown = N.union_all(
+        words.select(F.lit("kept").alias("stage"), F.lit("COMMUNICATES").alias("key"), "rule"),
+        chains.agg(F.count_distinct("c").cast("string").alias("rule")).select(
+            F.lit("kept").alias("stage"), F.lit("contracts").alias("key"), "rule"
+        ),
+    )
+    trimmed = F.when(F.col("stage") == "derivation", F.regexp_replace("key", r"-[^-]*$", "")).otherwise(F.col("key"))
+    return whole.quarantine.withColumn("key", trimmed).unionByName(shown)
 
 
 @query(

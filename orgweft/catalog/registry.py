@@ -52,31 +52,17 @@ VIEWS: dict[str, str] = {
     "recent": """
         SELECT * FROM comm_edges
         WHERE last_epoch >= (SELECT max(last_epoch) FROM comm_edges) - 7 * 86400""",
-    # Who talks to whom in the conversations; a mention of the answered author is the reply.
+    # Who talks to whom in the conversations: every reply and every mention.
     "chat_comm": """
         SELECT c.author AS a, p.author AS b, c.t FROM chat c JOIN chat p ON p.id = c.parent WHERE p.author <> c.author
         UNION ALL
         SELECT a, m, t FROM (
-            SELECT DISTINCT c.id, c.t, c.author AS a, p.author AS answered,
-                   unnest(regexp_extract_all(c.text, '<@([^>|]+)', 1)) AS m
-            FROM chat c LEFT JOIN chat p ON p.id = c.parent)
-        WHERE m <> a AND m <> coalesce(answered, '')""",
+            SELECT DISTINCT id, t, author AS a, unnest(regexp_extract_all(text, '<@([^>|]+)', 1)) AS m FROM chat)
+        WHERE m <> a""",
     "chat_edges": """
         SELECT 'person:' || a AS a, 'person:' || b AS b, count(*) AS weight, max(t) AS last_epoch
         FROM chat_comm GROUP BY a, b""",
     "arcs": "SELECT a AS src, b AS dst FROM chat_edges UNION SELECT b, a FROM chat_edges",
-    # Faultlines look for a path of answers: replies only.
-    "reply_arcs": """
-        SELECT 'person:' || c.author AS src, 'person:' || p.author AS dst
-        FROM chat c JOIN chat p ON p.id = c.parent WHERE p.author <> c.author
-        UNION
-        SELECT 'person:' || p.author, 'person:' || c.author
-        FROM chat c JOIN chat p ON p.id = c.parent WHERE p.author <> c.author""",
-    "reply_walks": """
-        SELECT v AS s, v, 0 AS d FROM (SELECT key AS v FROM resolved UNION SELECT src FROM reply_arcs)
-        UNION
-        SELECT w.s, a.dst, w.d + 1 FROM reply_walks w JOIN reply_arcs a ON a.src = w.v WHERE w.d < 4""",
-    "reply_dist": "SELECT s, v, min(d) AS d FROM reply_walks GROUP BY s, v",
     "verts": "SELECT key AS v FROM resolved UNION SELECT src FROM arcs",
     # Shortest distances by walks of growing length, kept distinct.
     "walks": """
@@ -188,7 +174,7 @@ VIEWS: dict[str, str] = {
         SELECT k, d.a AS sm, d.b AS tm, w, x.owner AS so, y.owner AS t_o, x.confidence AS sc,
                y.confidence AS tc, t.d AS distance
         FROM depends d JOIN owners x ON x.module = d.a JOIN owners y ON y.module = d.b
-        LEFT JOIN reply_dist t ON t.s = x.owner AND t.v = y.owner""",
+        LEFT JOIN dist t ON t.s = x.owner AND t.v = y.owner AND t.d <= 4""",
     "faults": """
         SELECT *, CASE WHEN distance IS NULL THEN 'no_path' ELSE 'weak_coordination' END AS tier,
                w * CASE WHEN distance IS NULL THEN 1.0 ELSE 0.5 END AS severity
@@ -200,7 +186,8 @@ VIEWS: dict[str, str] = {
                CASE WHEN turn <= 1 THEN 'c' || conv_id || '-' || ({BASE} + conv_id * 86400 - 3600) || '.000100'
                     ELSE 'c' || conv_id || '-' || ({BASE} + conv_id * 86400 + (turn - 1) * 3600) || '.000100'
                END AS parent,
-               '<@s' || (conv_id % n) || '> <@s' || (turn % n) || '|x> ' || text AS text,
+               '<@s' || (CASE WHEN turn % 4 = 0 THEN conv_id ELSE conv_id * 7 + turn END) % n || '> <@s'
+                    || ((conv_id * 7 + turn + n - 1) % n) || '|x> ' || text AS text,
                'brand-' || (1 + conv_id % 25) AS m
         FROM conversations, n""",
     "artifacts": """

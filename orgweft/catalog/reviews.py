@@ -15,10 +15,22 @@ from orgweft.operators import lenses as L
 from orgweft.operators import questions as Q
 from orgweft.operators import repairs as R
 from orgweft.operators.normalize import union_all
-from orgweft.plans.load import batch_hashes, compare_ledger, edge_rows, node_rows, with_batches
 from orgweft.plans.bundle import canonicalize
+from orgweft.plans.load import (
+    FOLDERS,
+    LEDGER,
+    batch_hashes,
+    compare_ledger,
+    edge_rows,
+    ledger_rows,
+    load,
+    loaded_rows,
+    node_rows,
+    verify_load,
+    with_batches,
+)
 from orgweft.plans.report import risk_report
-from orgweft.session import durable
+from orgweft.session import Scratch, durable, shared_folder
 
 
 # --- questions --------------------------------------------------------------
@@ -188,9 +200,8 @@ def verdict(v: Views) -> DataFrame:
 
 @query(
     "relation_owners",
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY k) AS i FROM owns),
-            b AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY NOT (now BETWEEN coalesce(vfrom, 0) AND coalesce(vuntil, now)),
-                  authority_rank DESC, coalesce(observed, 0) DESC, confidence DESC, k) AS j FROM r, now WHERE i <= 25)
+    """WITH b AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY NOT (now BETWEEN coalesce(vfrom, 0) AND coalesce(vuntil, now)),
+                  authority_rank DESC, coalesce(observed, 0) DESC, confidence DESC, k) AS j FROM owns, now)
        SELECT module AS subject_key, owner AS person_key, confidence FROM b WHERE j = 1""",
 )
 def relation_owners(v: Views) -> DataFrame:
@@ -203,12 +214,16 @@ def relation_owners(v: Views) -> DataFrame:
 # --- repairs ----------------------------------------------------------------
 
 
-_PROPOSED = """line5 AS (SELECT * FROM faults ORDER BY severity DESC, sm, tm, k, so, t_o LIMIT 5),
-    prop AS (SELECT 'repair:gap:' || phantom AS repair_id, 'gap' AS finding_kind, phantom AS finding_key, 'record_missing_approval' AS repair_kind,
+_PROPOSED = """prop AS (SELECT 'repair:gap:' || phantom AS repair_id, 'gap' AS finding_kind, phantom AS finding_key, 'record_missing_approval' AS repair_kind,
                     CASE WHEN preds > 0 AND succs > 0 THEN 'SUPPORTED' ELSE 'UNKNOWN' END AS verdict FROM gaprows
-             UNION ALL SELECT 'repair:faultline:' || sm || '|' || tm || '|' || so || '|' || t_o, 'faultline', sm || '|' || tm || '|' || so || '|' || t_o,
+             UNION ALL SELECT DISTINCT 'repair:faultline:' || sm || '|' || tm || '|' || so || '|' || t_o, 'faultline', sm || '|' || tm || '|' || so || '|' || t_o,
                     CASE WHEN distance IS NULL THEN 'establish_owner_bridge' ELSE 'add_backup_owner' END,
-                    CASE WHEN distance IS NULL THEN 'SUPPORTED' ELSE 'UNKNOWN' END FROM line5)"""
+                    CASE WHEN distance IS NULL THEN 'SUPPORTED' ELSE 'UNKNOWN' END FROM faults)"""
+# Talk with the approved bridges in it: a faultline closes when its owners come close enough.
+_BRIDGED = """bridged AS (SELECT src, dst FROM arcs UNION SELECT so, t_o FROM faults WHERE distance IS NULL
+                          UNION SELECT t_o, so FROM faults WHERE distance IS NULL),
+    near AS (SELECT DISTINCT x.src AS a, y.dst AS b FROM (SELECT src, dst FROM bridged UNION SELECT src, src FROM bridged) x
+             JOIN (SELECT src, dst FROM bridged UNION SELECT src, src FROM bridged) y ON y.src = x.dst)"""
 
 
 def proposals(v: Views) -> DataFrame:
@@ -222,8 +237,8 @@ def repair_proposals(v: Views) -> DataFrame:
 
 @query(
     "repair_verify",
-    f"""WITH {_PROPOSED} SELECT repair_id, repair_kind <> 'record_missing_approval' AND repair_kind = 'establish_owner_bridge'
-              OR finding_key LIKE 'artifact:approval-%' AS closed FROM prop""",
+    f"""WITH {_PROPOSED}, {_BRIDGED}, shut AS (SELECT DISTINCT sm || '|' || tm || '|' || so || '|' || t_o AS finding_key FROM faults JOIN near ON a = so AND b = t_o)
+       SELECT repair_id, finding_key LIKE 'artifact:approval-%' OR finding_key IN (SELECT finding_key FROM shut) AS closed FROM prop""",
 )
 def repair_verify(v: Views) -> DataFrame:
     """Approve contract gaps and owner bridges, lay them over, look again."""
@@ -231,7 +246,7 @@ def repair_verify(v: Views) -> DataFrame:
     approved = proposed.where(
         "repair_kind = 'establish_owner_bridge' OR finding_key LIKE 'artifact:approval-%'"
     )
-    repaired = R.apply_repairs(v.answers, approved)
+    repaired = R.apply_repairs(v.coordination, approved)
     return R.verify_repairs(proposed, R.open_findings(repaired)).select("repair_id", "closed")
 
 
@@ -311,14 +326,17 @@ def node_risk(v: Views) -> DataFrame:
 # --- load and report --------------------------------------------------------
 
 
-@query(
-    "load_batches",
-    """WITH r AS (SELECT 'nodes' AS stage, 'Person' AS shape, count(*) AS n FROM people UNION ALL SELECT 'nodes', 'Team', count(*) FROM nation
+_LOAD_SHAPES = """r AS (SELECT 'nodes' AS stage, 'Person' AS shape, count(*) AS n FROM people UNION ALL SELECT 'nodes', 'Team', count(*) FROM nation
                   UNION ALL SELECT 'nodes', 'Module', (SELECT count(*) FROM brands) + (SELECT count(*) FROM types)
                   UNION ALL SELECT 'nodes', 'Artifact', count(*) FROM commits
                   UNION ALL SELECT 'edges', 'REPORTS_TO|Person|Person', count(*) FROM reporting
                   UNION ALL SELECT 'edges', 'AUTHORED|Person|Artifact', count(*) FROM commits
-                  UNION ALL SELECT 'edges', 'ABOUT|Artifact|Module', count(*) FROM commit_modules)
+                  UNION ALL SELECT 'edges', 'ABOUT|Artifact|Module', count(*) FROM commit_modules)"""
+
+
+@query(
+    "load_batches",
+    f"""WITH {_LOAD_SHAPES}
        SELECT stage, shape, CAST(b AS BIGINT) AS batch, CAST(least(500, n - b * 500) AS BIGINT) AS n, 'pending' AS state
        FROM r, LATERAL (SELECT unnest(range(CAST(ceil(n / 500.0) AS BIGINT))) AS b)""",
 )
@@ -326,13 +344,52 @@ def load_batches(v: Views) -> DataFrame:
     """Batches of the directory and commit graph, compared with an empty ledger."""
     base = canonicalize(union_all(v.directory, v.artifact_records), DATASET)
     rows = node_rows(base.nodes, DATASET).unionByName(edge_rows(base.edges, base.nodes, DATASET))
-    ledger = v.spark.createDataFrame(
-        [], "snapshot_id STRING, stage STRING, shape STRING, batch BIGINT, row_hash STRING"
-    )
+    ledger = v.spark.createDataFrame([], LEDGER)
     states = compare_ledger(batch_hashes(with_batches(rows)), ledger, "bench")
     return states.select("stage", "shape", "batch", "n", "state")
 
 
+@query(
+    "load_resume",
+    f"""WITH {_LOAD_SHAPES}, b AS (SELECT CAST(ceil(n / 500.0) AS BIGINT) AS n FROM r)
+       SELECT 'attempted' AS measure, CAST(sum(n) AS BIGINT) AS n FROM b
+       UNION ALL SELECT 'resumed by the second', CAST(sum((n + 1) // 2) AS BIGINT) FROM b
+       UNION ALL SELECT 'resumed by the third', CAST(sum(n) AS BIGINT) FROM b
+       UNION ALL SELECT 'rows', CAST(sum(n) AS BIGINT) FROM r
+       UNION ALL SELECT 'ids', CAST(sum(n) AS BIGINT) FROM r
+       UNION ALL SELECT 'differences', 0
+       UNION ALL SELECT 'refused when changed', 1""",
+)
+def load_resume(v: Views) -> DataFrame:
+    """Load, lose every second entry of the ledger, load twice more, then load something else."""
+    base = canonicalize(union_all(v.directory, v.artifact_records), DATASET)
+    expected = node_rows(base.nodes, DATASET).unionByName(edge_rows(base.edges, base.nodes, DATASET))
+    target, size = shared_folder(v.spark, "load"), {"per_part": 50}
+    runs = [load(base, "bench", target, **size)]
+    with Scratch(v.spark) as shelf:
+        left = shelf.keep(ledger_rows(v.spark, target).where("batch % 2 = 0"), "ledger")
+        left.write.mode("overwrite").partitionBy(*FOLDERS).parquet(f"{target}/ledger")
+    runs += [load(base, "bench", target, **size), load(base, "bench", target, **size)]
+    later = replace(base, nodes=base.nodes.withColumn("confidence", F.col("confidence") - 1))
+    try:
+        load(later, "bench", target, **size)
+        refused = 0
+    except ValueError:
+        refused = 1
+    loaded = loaded_rows(v.spark, target, "bench")
+    counts = loaded.agg(F.count("*").alias("rows"), F.count_distinct("stage", "id").alias("ids")).first()
+    found = [
+        ("attempted", runs[0]["completed_batches"]),
+        ("resumed by the second", runs[1]["resumed_batches"]),
+        ("resumed by the third", runs[2]["resumed_batches"]),
+        ("rows", counts["rows"]),
+        ("ids", counts["ids"]),
+        ("differences", verify_load(loaded, expected).count()),
+        ("refused when changed", refused),
+    ]
+    return v.spark.createDataFrame(found, "measure STRING, n BIGINT")
+
+
 @query("risk_report")
 def report(v: Views) -> DataFrame:
     return risk_report(replace(v.coordination, dataset_id=DATASET), "bench:snapshot")

@@ -277,12 +277,21 @@ class Views:
 
     @cached_property
     def messages(self) -> DataFrame:
-        """Conversation turns as chat messages. The first two answer a message that is not there."""
+        """Conversation turns as chat messages. The first two answer a message that is not there.
+
+        Every fourth turn mentions someone else, the others their own author; all mention the
+        author of the turn before, whom most of them answer.
+        """
         conv, turn = F.col("conv_id"), F.col("turn")
         day = F.lit(BASE) + conv * 86400
         stamp = lambda epoch: F.concat(epoch.cast("string"), F.lit(".000100"))
         text = F.concat(
-            F.lit("<@"), self.handle(conv), F.lit("> <@"), self.handle(turn), F.lit("|x> "), F.col("text")
+            F.lit("<@"),
+            self.handle(F.when(turn % 4 == 0, conv).otherwise(conv * 7 + turn)),
+            F.lit("> <@"),
+            self.handle(conv * 7 + turn + self.supplier_count - 1),
+            F.lit("|x> "),
+            F.col("text"),
         )
         return self.table("conversations").select(
             F.concat(F.lit("c"), conv.cast("string")).alias("channel"),
@@ -421,12 +430,8 @@ class Views:
 
     @cached_property
     def chat_talk(self) -> DataFrame:
-        """Every reply and mention of the conversations. Mentioning the author one replies to
-        is that reply.
-        """
-        answered = F.array(F.coalesce("parent_author_id", F.lit("")))
-        rows = self.slack_rows.withColumn("mentions", F.array_except("mentions", answered))
-        return slack_records(rows).where("kind = 'communication_aggregate'")
+        """Every reply and mention of the conversations."""
+        return slack_records(self.slack_rows).where("kind = 'communication_aggregate'")
 
     @cached_property
     def chat_edges(self) -> DataFrame:
@@ -438,12 +443,6 @@ class Views:
         others = self.bundle.edges.where("rel_type <> 'COMMUNICATES'")
         return self.bundle.with_edges(others.unionByName(self.chat_edges))
 
-    @cached_property
-    def answers(self) -> Bundle:
-        """The bundle with all replies as its communication: faultlines ask for paths of answers."""
-        talk = (F.col("rel_type") != "COMMUNICATES") | (F.col("props.reply_weight") > 0)
-        return self.coordination.with_edges(self.coordination.edges.where(talk))
-
     @cached_property
     def talk_edges(self) -> DataFrame:
         return stored(D.communicates(self.evidence_of(self.talk), DATASET)[0], "talk")

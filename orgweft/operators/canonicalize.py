@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from orgweft.functions.ids import DEFAULT_PERSON, edge_id_payload, path_key, stable_id
 from orgweft.functions.text import (
@@ -42,11 +43,59 @@ def payload_json() -> Column:
     )
 
 
+def _mark(df: DataFrame, names: list[str]) -> Column:
+    """A hash of columns, those of structs one by one. Nulls do not count in such a hash, so
+    their places are hashed as well.
+    """
+    flat = []
+    for name in names:
+        kind = df.schema[name].dataType
+        flat += [F.col(f"{name}.{f}") for f in kind.names] if isinstance(kind, StructType) else [F.col(name)]
+    return F.xxhash64(*flat, F.array(*[c.isNull() for c in flat]))
+
+
+def _reduced(df: DataFrame, keys: list[str], content: list[str], rule: str) -> DataFrame:
+    """One row per key with ``rule`` set where rows of the key differ in their content.
+
+    Copies are reduced in each task before the shuffle, so a key with very many is few rows there.
+    """
+    others = [name for name in df.columns if name not in keys]
+    return (
+        df.withColumn("mark", _mark(df, content))
+        .groupBy(*keys)
+        .agg(
+            *[F.first(name).alias(name) for name in others],
+            F.when(F.min("mark") != F.max("mark"), F.lit(rule)).alias("rule"),
+        )
+        .select(*df.columns, "rule")
+    )
+
+
 def deduplicate(records: DataFrame) -> DataFrame:
     """One row per (source, external id). Copies are reduced in each task before the shuffle."""
     return records.dropDuplicates(["source", "external_id"])
 
 
+# What the payload of a record holds.
+PAYLOAD = [
+    "author_external_id",
+    "content",
+    "content_sha256",
+    "external_id",
+    "kind",
+    "metadata_json",
+    "occurred_at_epoch",
+    "parent_external_id",
+    "source",
+    "subjects",
+]
+
+
+def reduced_records(records: DataFrame) -> DataFrame:
+    """``deduplicate`` with ``rule`` set for identities whose copies have different payloads."""
+    return _reduced(records, ["source", "external_id"], PAYLOAD, "record is stated in different ways")
+
+
 def conflicting_records(records: DataFrame) -> DataFrame:
     """Source identities whose copies do not have the same payload."""
     hashed = records.select("source", "external_id", F.sha2(payload_json(), 256).alias("payload"))
@@ -58,7 +107,7 @@ def conflicting_records(records: DataFrame) -> DataFrame:
     )
 
 
-def evidence_of(records: DataFrame, dataset_id: str) -> DataFrame:
+def evidence_of(records: DataFrame, dataset_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One evidence row per record; ``meta`` and the parent stay as typed columns beside it."""
     digest = F.sha2(F.concat(F.lit(f"{dataset_id}|evidence|"), payload_json()), 256)
     fallback = F.concat(F.lit("record:"), F.col("source"), F.lit(":"), F.col("external_id"))
@@ -105,6 +154,7 @@ def evidence_of(records: DataFrame, dataset_id: str) -> DataFrame:
         F.col("parent_external_id"),
         F.col("subjects"),
         F.col("author_external_id"),
+        *keep,
     )
 
 
@@ -179,8 +229,10 @@ def node_candidates(evidence: DataFrame, dataset_id: str, person: bytes = DEFAUL
 
 
 def merge_nodes(candidates: DataFrame) -> DataFrame:
-    unique = candidates.dropDuplicates(["label", "canonical_key"])
-    return unique.withColumn("path_key", path_key(F.col("label"), F.col("id"))).select(*NODE_COLUMNS)
+    """One node per key, with ``rule`` set for keys stated with different content."""
+    content = ["label", "evidence_class", "confidence", "props"]
+    unique = _reduced(candidates, ["canonical_key"], content, "node is stated in different ways")
+    return unique.withColumn("path_key", path_key(F.col("label"), F.col("id"))).select(*NODE_COLUMNS, "rule")
 
 
 def node_links(candidates: DataFrame) -> DataFrame:
@@ -354,7 +406,23 @@ def observed_edge_candidates(
 
 
 def merge_edges(candidates: DataFrame) -> DataFrame:
-    return candidates.dropDuplicates(["rel_type", "canonical_key"]).select(*EDGE_COLUMNS)
+    """One edge per key, with ``rule`` set for keys stated with different content."""
+    content = [name for name in EDGE_COLUMNS if name not in ("canonical_key", "rel_type")]
+    return _reduced(
+        candidates, ["rel_type", "canonical_key"], content, "edge is stated in different ways"
+    ).select(*EDGE_COLUMNS, "rule")
+
+
+def with_endpoint_rule(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with ``rule`` set where an endpoint is no node; a rule that is set stays."""
+    known = nodes.select(F.col("canonical_key").alias("key"), F.lit(True).alias("there"))
+    for end in ("source", "target"):
+        present = known.withColumnsRenamed({"key": f"{end}_key", "there": f"{end}_there"})
+        edges = edges.join(present, f"{end}_key", "left")
+    missing = F.col("source_there").isNull() | F.col("target_there").isNull()
+    return edges.withColumn("rule", F.coalesce("rule", F.when(missing, F.lit("endpoint is missing")))).select(
+        *EDGE_COLUMNS, "rule"
+    )
 
 
 def edge_links(candidates: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def communication_records(df: DataFrame, source: str) -> DataFrame:
         ),
         source=F.lit(source),
         external_id=F.concat(
-            F.lit(f"{source}:"), F.col("external_id"), F.lit(":communication:"), recipient
+            F.lit(f"{source}:"), F.col("external_id"), F.lit(":communication:"), recipient, F.col("tail")
         ),
         kind=F.lit("communication_aggregate"),
         occurred_at_epoch=epoch,
@@ -120,14 +120,22 @@ def communication_records(df: DataFrame, source: str) -> DataFrame:
 
 
 def _exchanges(sender: Column, reply_to: Column, others: Column, other_kind: str) -> Column:
-    """Reply first, then one entry per other recipient, never to the sender."""
+    """Reply first, then one entry per other recipient, never to the sender.
+
+    Someone who is answered and named as well gets two entries; the second has a ``tail`` that
+    keeps the ids of both records apart.
+    """
     reply = F.filter(
-        F.array(F.struct(reply_to.alias("recipient"), F.lit("reply").alias("kind"))),
+        F.array(F.struct(reply_to.alias("recipient"), F.lit("reply").alias("kind"), F.lit("").alias("tail"))),
         lambda x: x["recipient"].isNotNull() & (x["recipient"] != sender),
     )
     rest = F.transform(
         F.filter(others, lambda x: x != sender),
-        lambda x: F.struct(x.alias("recipient"), F.lit(other_kind).alias("kind")),
+        lambda x: F.struct(
+            x.alias("recipient"),
+            F.lit(other_kind).alias("kind"),
+            F.when(x.eqNullSafe(reply_to), F.lit(f":{other_kind}")).otherwise(F.lit("")).alias("tail"),
+        ),
     )
     return F.concat(reply, rest)
 
@@ -143,7 +151,7 @@ def slack_records(rows: DataFrame) -> DataFrame:
         F.explode(
             _exchanges(author, parent_author, clean_list(F.col("mentions")), "mention")
         ).alias("x"),
-    ).select("external_id", "occurred_at_epoch", "sender", "x.recipient", "x.kind")
+    ).select("external_id", "occurred_at_epoch", "sender", "x.recipient", "x.kind", "x.tail")
     return union_all(
         artifact_records(
             rows,
@@ -170,7 +178,7 @@ def email_records(rows: DataFrame) -> DataFrame:
         "occurred_at_epoch",
         sender.alias("sender"),
         F.explode(_exchanges(sender, parent_author, others, "email")).alias("x"),
-    ).select("external_id", "occurred_at_epoch", "sender", "x.recipient", "x.kind")
+    ).select("external_id", "occurred_at_epoch", "sender", "x.recipient", "x.kind", "x.tail")
     return union_all(
         artifact_records(
             rows,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from orgweft.functions.ids import path_key
@@ -10,6 +13,7 @@ from orgweft.operators.canonicalize import missing_endpoints
 from orgweft.operators.derive import DEPENDENCY_KINDS, INTERACTION_KINDS
 from orgweft.operators.normalize import union_all
 from orgweft.schemas import EVIDENCE_CLASSES, NODE_PREFIX, REL_TYPES
+from orgweft.session import stored
 
 SHA256 = "^[0-9a-f]{64}$"
 
@@ -25,12 +29,42 @@ def require_none(violations: DataFrame, what: str) -> None:
         raise CheckFailed(f"{what}: {[row.asDict() for row in rows]}")
 
 
-def _violations(df: DataFrame, key: Column, rules: dict[str, Column]) -> DataFrame:
-    """``key, rule`` for every rule a row breaks."""
-    broken = F.array_compact(
+@dataclass(frozen=True)
+class Split:
+    """Rows that break no rule, and ``stage, key, rule`` of the ``count`` others."""
+
+    kept: DataFrame
+    aside: DataFrame
+    count: int
+
+
+def quarantine(
+    df: DataFrame, stage: str, key: Column, partition_by: str | None = None, strict: bool = False
+) -> Split:
+    """Write ``df`` once and part the rows whose ``rule`` is set from the others.
+
+    The rows set aside are counted by the write itself. ``strict`` raises if there are any.
+    """
+    seen = Observation(f"{stage}-{uuid.uuid4().hex}")
+    names = [name for name in df.columns if name != "rule"]
+    whole = stored(df.observe(seen, F.count("rule").alias("n")), stage, partition_by)
+    count = seen.get["n"]
+    aside = whole.where("rule IS NOT NULL").select(F.lit(stage).alias("stage"), key.alias("key"), "rule")
+    if strict:
+        require_none(aside.limit(0) if not count else aside, stage)
+    return Split(whole.where("rule IS NULL").select(*names), aside, count)
+
+
+def _broken(rules: dict[str, Column]) -> Column:
+    """Names of the rules a row breaks."""
+    return F.array_compact(
         F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items()])
     )
-    return df.select(key.alias("key"), F.explode(broken).alias("rule"))
+
+
+def _violations(df: DataFrame, key: Column, rules: dict[str, Column]) -> DataFrame:
+    """``key, rule`` for every rule a row breaks."""
+    return df.select(key.alias("key"), F.explode(_broken(rules)).alias("rule"))
 
 
 def _blank(name: str) -> Column:
@@ -190,13 +224,12 @@ def id_collisions(identities: DataFrame) -> DataFrame:
     return collided.unionByName(drifted)
 
 
-def derivation_violations(evidence: DataFrame) -> DataFrame:
-    """Facts the derivation cannot use: unknown kinds, counts out of range, self co-change."""
+def _derivation_rules() -> dict[str, Column]:
     meta = lambda name: F.col(f"meta.{name}")
     on = lambda predicate, bad: (F.col("predicate") == predicate) & bad
     attributed, total = meta("attributed_count"), meta("total_attributed_count")
     weight = F.coalesce(meta("cochange_count"), meta("weight"), F.lit(1))
-    rules = {
+    return {
         "interaction kind is unknown": on(
             "communication_aggregate",
             meta("interaction_kind").isNull() | ~meta("interaction_kind").isin(*INTERACTION_KINDS),
@@ -227,4 +260,13 @@ def derivation_violations(evidence: DataFrame) -> DataFrame:
             "cochange", meta("source_module_external_id") == meta("target_module_external_id")
         ),
     }
-    return _violations(evidence, F.concat_ws("/", "source_type", "source_record_id"), rules)
+
+
+def derivation_violations(evidence: DataFrame) -> DataFrame:
+    """Facts the derivation cannot use: unknown kinds, counts out of range, self co-change."""
+    return _violations(evidence, F.concat_ws("/", "source_type", "source_record_id"), _derivation_rules())
+
+
+def derivable() -> Column:
+    """Whether the derivation can use an evidence row."""
+    return F.size(_broken(_derivation_rules())) == 0

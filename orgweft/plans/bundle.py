@@ -1,4 +1,9 @@
-"""The graph as five tables, and how they are put together from records."""
+"""The graph as five tables, and how they are put together from records.
+
+What breaks a rule of the graph never enters it: conflicting statements of a record, node or
+edge, edges without an endpoint, facts that cannot be derived from and faulty contracts are set
+aside in ``Bundle.quarantine`` with the rule they break. With ``strict`` they raise instead.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,7 @@ from orgweft.functions.ids import DEFAULT_PERSON
 from orgweft.functions.text import bare_module
 from orgweft.operators import canonicalize as C
 from orgweft.operators import identity as I
+from orgweft.operators import validate as V
 from orgweft.operators.derive import derive_edges
 from orgweft.operators.gaps import Gaps, detect_gaps
 from orgweft.operators.normalize import (
@@ -35,6 +41,7 @@ class Bundle:
     node_evidence: DataFrame
     edge_evidence: DataFrame
     limitations: DataFrame
+    quarantine: DataFrame | None = None
 
     def with_edges(self, edges: DataFrame) -> Bundle:
         return replace(self, edges=edges)
@@ -47,32 +54,46 @@ def no_contracts(like: DataFrame) -> DataFrame:
     return like.sparkSession.createDataFrame([], CONTRACT_FILE)
 
 
-def canonicalize(records: DataFrame, dataset_id: str, person: bytes = DEFAULT_PERSON) -> Bundle:
+def canonicalize(
+    records: DataFrame, dataset_id: str, person: bytes = DEFAULT_PERSON, strict: bool = False
+) -> Bundle:
     """Evidence, nodes and observed edges of a set of records. Order-free and idempotent.
 
     Evidence is written once, split by predicate, so that each derivation reads only the
     facts it is about; nodes and edges are written split by label and type.
     """
-    evidence = stored(C.evidence_of(C.deduplicate(records), dataset_id), "evidence", "predicate")
-    candidates = C.node_candidates(evidence, dataset_id, person)
-    nodes = stored(C.merge_nodes(candidates), "nodes", "label")
-    edge_candidates = C.observed_edge_candidates(evidence, nodes, dataset_id, person)
+    reduced = C.evidence_of(C.reduced_records(records), dataset_id, keep=("rule",))
+    record = F.concat_ws("/", "source_type", "source_record_id")
+    facts = V.quarantine(reduced, "evidence", record, "predicate", strict)
+    candidates = C.node_candidates(facts.kept, dataset_id, person)
+    nodes = V.quarantine(C.merge_nodes(candidates), "nodes", F.col("canonical_key"), "label", strict)
+    edge_candidates = C.observed_edge_candidates(facts.kept, nodes.kept, dataset_id, person)
+    merged = C.with_endpoint_rule(C.merge_edges(edge_candidates), nodes.kept)
+    edges = V.quarantine(merged, "edges", F.col("canonical_key"), "rel_type", strict)
     empty = records.sparkSession.createDataFrame([], "limitation STRING")
     return Bundle(
         dataset_id=dataset_id,
-        nodes=nodes,
-        edges=stored(C.merge_edges(edge_candidates), "edges", "rel_type"),
-        evidence=evidence,
-        node_evidence=C.node_links(candidates),
-        edge_evidence=C.edge_links(edge_candidates),
+        nodes=nodes.kept,
+        edges=edges.kept,
+        evidence=facts.kept,
+        node_evidence=_without(C.node_links(candidates), "node_key", nodes),
+        edge_evidence=_without(C.edge_links(edge_candidates), "edge_key", edges),
         limitations=empty,
+        quarantine=union_all(facts.aside, nodes.aside, edges.aside),
     )
 
 
+def _without(links: DataFrame, key: str, split: V.Split) -> DataFrame:
+    """Links without those of rows set aside."""
+    if not split.count:
+        return links
+    return links.join(split.aside.select(F.col("key").alias(key)).distinct(), key, "left_anti").select(*links.columns)
+
+
 def compose(base: Bundle, derived: tuple[DataFrame, DataFrame], gaps: Gaps) -> Bundle:
     """Base graph, derived edges and gap phantoms as one bundle."""
-    return Bundle(
-        dataset_id=base.dataset_id,
+    return replace(
+        base,
         nodes=base.nodes.unionByName(gaps.nodes),
         edges=union_all(base.edges, derived[0], gaps.edges),
         evidence=base.evidence.select(*EVIDENCE_COLUMNS).unionByName(gaps.evidence),
@@ -87,24 +108,47 @@ def build_bundle(
     dataset_id: str,
     contracts: DataFrame | None = None,
     person: bytes = DEFAULT_PERSON,
+    strict: bool = False,
 ) -> Bundle:
-    return complete(canonicalize(records, dataset_id, person), contracts, person)
+    return complete(canonicalize(records, dataset_id, person, strict), contracts, person, strict)
 
 
 def complete(
-    base: Bundle, contracts: DataFrame | None = None, person: bytes = DEFAULT_PERSON
+    base: Bundle,
+    contracts: DataFrame | None = None,
+    person: bytes = DEFAULT_PERSON,
+    strict: bool = False,
 ) -> Bundle:
     """The base graph with its derived edges and gap phantoms, written once."""
     dataset_id = base.dataset_id
-    derived = derive_edges(base.evidence, base.edges, base.edge_evidence, dataset_id, person)
-    wanted = no_contracts(base.nodes) if contracts is None else conform(contracts, CONTRACT_FILE)
+    unusable = V.derivation_violations(base.evidence).select(F.lit("derivation").alias("stage"), "key", "rule")
+    usable = base.evidence.where(V.derivable())
+    derived = derive_edges(usable, base.edges, base.edge_evidence, dataset_id, person)
+    given = no_contracts(base.nodes) if contracts is None else conform(contracts, CONTRACT_FILE)
+    faulty = V.contract_violations(given).select(F.lit("contracts").alias("stage"), "key", "rule")
+    faulty = stored(faulty, "faulty_contracts")
+    wanted = given.join(faulty.select(F.col("key").alias("contract_id")).distinct(), "contract_id", "left_anti").select(
+        *given.columns
+    )
+    if strict:
+        V.require_none(unusable, "derivation")
+        V.require_none(faulty, "contracts")
     gaps = detect_gaps(base.evidence, base.nodes, wanted, dataset_id, person)
     whole = compose(base, derived, gaps)
+    nodes = stored(whole.nodes, "nodes", "label")
+    marked = C.with_endpoint_rule(
+        derived[0].unionByName(gaps.edges).withColumn("rule", F.lit(None).cast("string")), nodes
+    )
+    marked = base.edges.withColumn("rule", F.lit(None).cast("string")).unionByName(marked)
+    edges = V.quarantine(marked, "edges", F.col("canonical_key"), "rel_type", strict)
+    aside = [part for part in (base.quarantine, unusable, faulty, edges.aside) if part is not None]
     return replace(
         whole,
-        nodes=stored(whole.nodes, "nodes", "label"),
-        edges=stored(whole.edges, "edges", "rel_type"),
+        nodes=nodes,
+        edges=edges.kept,
         evidence=stored(whole.evidence, "evidence", "predicate"),
+        edge_evidence=_without(whole.edge_evidence, "edge_key", edges),
+        quarantine=union_all(*aside),
     )
 
 

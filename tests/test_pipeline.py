@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from orgweft.operators import validate as V
 from orgweft.plans import snapshot as S
 from orgweft.plans.bundle import build_bundle, canonicalize, ingest_exports
 from orgweft.plans.corpus import synthetic_org
-from orgweft.plans.load import load, loaded_rows, verify_load, node_rows, edge_rows
+from orgweft.plans.load import FOLDERS, LEDGER, edge_rows, ledger_rows, load, loaded_rows, node_rows, verify_load
 from orgweft.schemas import SLACK_ROW
 
 
@@ -97,7 +98,10 @@ def test_questions_and_repairs(spark, org):
     )
     repaired = R.apply_repairs(org, bridges)
     again = R.apply_repairs(repaired, bridges)
-    assert again.edges.count() == repaired.edges.count() == org.edges.count() + lines.limit(5).count()
+    pairs = lines.select("source_module_key", "target_module_key", "source_owner_key", "target_owner_key").distinct()
+    assert again.edges.count() == repaired.edges.count() == org.edges.count() + pairs.count()
+    firsts = R.propose_repairs(L.gap_findings(org.nodes, org.edges), lines, first=1).where("finding_kind = 'faultline'")
+    assert firsts.count() == 1 < pairs.count()
     checked = R.verify_repairs(proposed, R.open_findings(repaired)).collect()
     assert checked and all(row["closed"] for row in checked)
 
@@ -127,6 +131,17 @@ def test_load_resumes(spark, tmp_path):
     assert second["resumed_batches"] == second["attempted_batches"] == first["attempted_batches"]
     expected = node_rows(base.nodes, "synthetic").unionByName(edge_rows(base.edges, base.nodes, "synthetic"))
     assert verify_load(loaded_rows(spark, target), expected).count() == 0
+    # A part whose entries are lost, and rows of a write that broke off, are written over.
+    lost = ledger_rows(spark, target).where("batch > 0").collect()
+    spark.createDataFrame(lost, LEDGER).write.mode("overwrite").partitionBy(*FOLDERS).parquet(f"{target}/ledger")
+    third = load(base, "snap", target, size=20)
+    assert third["resumed_batches"] == len(lost) < third["completed_batches"] == first["attempted_batches"]
+    assert verify_load(loaded_rows(spark, target, "snap"), expected).count() == 0
+    other = expected.withColumn("properties", F.when(F.col("stage") == "nodes", F.lit("{}")).otherwise(F.col("properties")))
+    assert {r["stage"] for r in verify_load(loaded_rows(spark, target), other).collect()} == {"nodes"}
+    cut = replace(base, nodes=base.nodes.where("label <> 'Module'"))
+    with pytest.raises(ValueError, match="endpoint"):
+        load(cut, "snap", target, size=20)
     with pytest.raises(ValueError, match="changed"):
         load(base, "snap", target, size=30)
 
@@ -173,3 +188,27 @@ def test_checks_find_broken_rows(spark):
     assert found == {"one id, two identities", "one identity, two ids"}
     meta = spark.createDataFrame([("s", "e", '{"a":1,"b":{"c":2},"d":null,"f":1.5}')], "source STRING, external_id STRING, metadata_json STRING")
     assert {r["rule"] for r in V.metadata_violations(meta).collect()} == {"metadata.b", "metadata.d"}
+
+
+def test_quarantine(spark):
+    records, contracts = synthetic_org(spark, people=60, modules=38, teams=1)
+    clean = build_bundle(records, "d", contracts, strict=True)
+    assert clean.quarantine.count() == 0
+    author = records.where("kind = 'artifact'").agg(F.min("author_external_id")).first()[0]
+    moved = records.where((F.col("kind") == "directory_person") & (F.col("external_id") == author)).withColumn(
+        "occurred_at_epoch", F.col("occurred_at_epoch") + 5
+    )
+    spoiled = records.unionByName(moved)
+    one = canonicalize(spoiled, "d")
+    two = canonicalize(moved.unionByName(records).repartition(7), "d")
+    rules = {(r["stage"], r["rule"]) for r in one.quarantine.collect()}
+    assert rules == {("evidence", "record is stated in different ways"), ("edges", "endpoint is missing")}
+    assert one.nodes.where(F.col("canonical_key") == f"person:{author}").count() == 0
+    assert V.bundle_violations(one).count() == V.bundle_violations(two).count() == 0
+    assert one.quarantine.exceptAll(two.quarantine).count() == two.quarantine.exceptAll(one.quarantine).count() == 0
+    with pytest.raises(V.CheckFailed, match="evidence"):
+        canonicalize(spoiled, "d", strict=True)
+    short = contracts.withColumn("steps", F.slice("steps", 1, 1))
+    assert {r["rule"] for r in build_bundle(records, "d", short).quarantine.collect()} == {"at least two steps"}
+    with pytest.raises(V.CheckFailed, match="contracts"):
+        build_bundle(records, "d", short, strict=True)
