@@ -81,11 +81,14 @@ _TURN = """turns AS (
                CASE WHEN other = author THEN author ELSE least(other, author) || ',' || greatest(other, author) END AS to_ids,
                parent AS in_reply_to_id, (SELECT CASE WHEN p.turn % 5 = 4 THEN 'robot@x.org' ELSE p.author END FROM turns p WHERE p.id = t.parent) AS parent_author_id,
                '=?utf-8?q?turn_' || turn || '_=C3=A9?=' AS subject, 'brand-' || (1 + conv_id % 25) AS module,
-               sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS body
+               sha256(regexp_replace(replace(chr(10) || text, chr(10) || 'From ', chr(10) || '>From '), '^\\s+|\\s+$', '', 'g')) AS body
         FROM turns t WHERE turn % 5 <> 4""",
 )
 def mail_export(v: Views) -> DataFrame:
-    """Conversations as mailboxes: an ignored list, skipped robots, undated mail. Subjects stay as sent."""
+    """Conversations as mailboxes: an ignored list, skipped robots, undated mail.
+
+    Subjects and escaped lines stay as sent.
+    """
     conv, turn = F.col("conv_id"), F.col("turn")
     address = lambda number: _text("9", (number % v.supplier_count).cast("string"), "@x.org")
     name = lambda place: _text("m", conv.cast("string"), "-", place.cast("string"), "@x.org")
@@ -110,7 +113,7 @@ def mail_export(v: Views) -> DataFrame:
             "\nSubject: =?utf-8?q?turn_",
             turn.cast("string"),
             "_=C3=A9?=\nContent-Type: text/plain; charset=utf-8\n\n",
-            F.col("text"),
+            F.regexp_replace("text", "(?m)^From ", ">From "),
             "\n",
         ).alias("value")
     )
