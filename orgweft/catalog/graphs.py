@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgweft.catalog.registry import query
+from orgweft.catalog.registry import VIEWS, query
 from orgweft.catalog.views import Views
 from orgweft.operators import graph as G
 from orgweft.operators import lenses as L
@@ -82,19 +84,44 @@ def betweenness_bounded(v: Views) -> DataFrame:
     return scores.select("v", F.round("centrality", 6).alias("centrality"))
 
 
-@query("betweenness_sampled")
-def betweenness_sampled(v: Views) -> DataFrame:
-    """Seeded pair sample; its generator has no SQL counterpart."""
-    return G.betweenness_sampled(talk_graph(v), 11, 2000)
+def _sampled(seed: int, size: int) -> str:
+    """SQL parts whose last, ``sampled``, has the drawn pairs of vertices (a < b)."""
+    return f"""
+        numbered AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM verts),
+        total AS (SELECT count(*) * (count(*) - 1) // 2 AS total,
+                         CAST(ceil(sqrt(count(*) * (count(*) - 1) // 2)) AS BIGINT) AS side FROM verts),
+        draw AS (SELECT 0 AS round, x.range // side AS high, x.range % side AS low
+                 FROM range({size}) x, total WHERE x.range < total
+                 UNION ALL
+                 SELECT round % 4 + 1, low,
+                        (high + CAST('0x' || substr(sha256('{seed}:' || round % 4 || ':' || low), 1, 15) AS BIGINT)) % side
+                 FROM draw, total WHERE round < 4 OR high * side + low >= total),
+        number AS (SELECT high * side + low AS number FROM draw, total WHERE round = 4 AND high * side + low < total),
+        sampled AS (SELECT x.v AS a, y.v AS b FROM number JOIN numbered y ON y.i * (y.i - 1) // 2 <= number
+                        AND number < y.i * (y.i + 1) // 2
+                    JOIN numbered x ON x.i = number - y.i * (y.i - 1) // 2)"""
 
 
 @query(
-    "pair_sample",
-    """SELECT count(*) AS n FROM (SELECT x.v, y.v FROM verts x JOIN verts y ON x.v < y.v LIMIT 2000)""",
+    "betweenness_sampled",
+    f"""WITH {_sampled(11, 2000)},
+            firsts AS (SELECT DISTINCT a AS s, a AS v, [a] AS path, 0 AS d FROM sampled
+                       UNION ALL
+                       SELECT p.s, a.dst, min(list_append(p.path, a.dst)), p.d + 1 FROM firsts p JOIN arcs a ON a.src = p.v
+                       JOIN dist t ON t.s = p.s AND t.v = a.dst AND t.d = p.d + 1 WHERE p.d < 4 GROUP BY p.s, a.dst, p.d),
+            found AS (SELECT path FROM sampled x JOIN firsts p ON p.s = x.a AND p.v = x.b),
+            tallies AS (SELECT v, count(*) AS tally FROM (SELECT unnest(path[2:-2]) AS v FROM found) GROUP BY v)
+       SELECT verts.v, coalesce(tally, 0) AS tally,
+              coalesce(tally, 0) / greatest((SELECT count(*) FROM found), 1) AS score
+       FROM verts LEFT JOIN tallies t ON t.v = verts.v""",
 )
+def betweenness_sampled(v: Views) -> DataFrame:
+    return G.betweenness_sampled(talk_graph(v), 11, 2000)
+
+
+@query("pair_sample", f"WITH {_sampled(29, 2000)} SELECT a, b FROM sampled")
 def pair_sample(v: Views) -> DataFrame:
-    pairs = G.sampled_pairs(talk_graph(v), 29, 2000)
-    return pairs.where("a <> b").select(F.least("a", "b"), F.greatest("a", "b")).distinct().agg(F.count("*").alias("n"))
+    return G.sampled_pairs(talk_graph(v), 29, 2000)
 
 
 @query(
@@ -217,10 +244,43 @@ def even_sample(v: Views) -> DataFrame:
     return G.even_sample(people, [F.col("canonical_key")], 30)
 
 
-@query("sampled_graph")
+def _induced(view: str) -> str:
+    """A view over the whole graph as one over the arcs ``iarcs`` and vertices ``iverts``."""
+    return re.sub(r"\b(walks|dist|sig|between|arcs|verts)\b", r"i\1", VIEWS[view])
+
+
+@query(
+    "sampled_graph",
+    f"""WITH r AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM resolved),
+            k AS (SELECT least(40, (SELECT count(*) FROM resolved)) AS k),
+            chosen AS (SELECT DISTINCT key FROM r, k, range(40) x
+                       WHERE x.range < k AND i = CAST(round_even(x.range * (n - 1) / (k - 1), 0) AS BIGINT)),
+            between_all AS (SELECT s AS a, v, [s] AS path, 0 AS d FROM (SELECT key AS s, key AS v FROM chosen)
+                       UNION ALL
+                       SELECT p.a, x.dst, list_append(p.path, x.dst), p.d + 1 FROM between_all p JOIN arcs x ON x.src = p.v
+                       JOIN dist t ON t.s = p.a AND t.v = x.dst AND t.d = p.d + 1 WHERE p.d < 4),
+            shown AS (SELECT path FROM (SELECT path, row_number() OVER (PARTITION BY a, v ORDER BY path) AS place
+                       FROM between_all WHERE a < v AND v IN (SELECT key FROM chosen)) WHERE place <= 3),
+            hops AS (SELECT path[j] AS src, path[j + 1] AS dst
+                       FROM (SELECT path, unnest(range(1, len(path))) AS j FROM shown)),
+            bothways AS (SELECT src, dst FROM hops UNION SELECT dst, src FROM hops),
+            iarcs AS (SELECT src, dst FROM bothways
+                       WHERE src IN (SELECT key FROM resolved) AND dst IN (SELECT key FROM resolved)),
+            iverts AS (SELECT DISTINCT v FROM (SELECT unnest(path) AS v FROM shown) WHERE v IN (SELECT key FROM resolved)),
+            iwalks AS ({_induced("walks")}), idist AS ({_induced("dist")}), isig AS ({_induced("sig")}),
+            ibetween AS ({_induced("between")}), iexact AS ({_induced("exact")}),
+            idegree AS (SELECT src AS v, count(*) AS degree FROM bothways GROUP BY src)
+       SELECT p.key AS person_key, p.name AS display_name, p.rank AS role_rank,
+              row_number() OVER (ORDER BY c DESC, p.key) AS structural_rank,
+              row_number() OVER (ORDER BY p.rank DESC, p.key) AS formal_rank,
+              row_number() OVER (ORDER BY p.rank DESC, p.key) - row_number() OVER (ORDER BY c DESC, p.key) AS rank_gap,
+              round(c, 6) AS sampled_centrality, coalesce(degree, 0) AS communication_degree
+       FROM resolved p JOIN iexact e ON e.v = p.key LEFT JOIN idegree d ON d.v = p.key""",
+)
 def sampled_graph(v: Views) -> DataFrame:
     """Scores on the graph of shortest paths between evenly spaced people."""
-    return L.sampled_ghosts(v.people_nodes, v.chat_edges, [F.col("id")], sample=40)
+    scores = L.sampled_ghosts(v.people_nodes, v.chat_edges, [F.col("canonical_key")], sample=40)
+    return scores.drop("centrality_method").withColumn("sampled_centrality", F.round("sampled_centrality", 6))
 
 
 @query(

@@ -39,6 +39,31 @@ def global_row_number(
     )
 
 
+def running_total(df: DataFrame, order: list[Column], amount: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows up to this one in ``order``, which must be total.
+
+    Like row numbers: sums within range partitions, and one row per partition for the offsets.
+    """
+    spark = df.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable(
+        df.repartitionByRange(count, *order).withColumn("_part", F.spark_partition_id())
+    )
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("_part")
+        .agg(F.sum(amount).alias("_size"))
+        .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (
+        placed.withColumn(name, F.sum(amount).over(inside))
+        .join(offsets, "_part")
+        .withColumn(name, F.col(name) + F.col("_offset"))
+        .drop("_part", "_offset")
+    )
+
+
 def top_per_group(
     df: DataFrame, group: list[str], order: list[Column], keep: int, name: str = "position"
 ) -> DataFrame:

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgweft.functions.permutation import draws
 from orgweft.functions.ranking import global_row_number, top_per_group
 from orgweft.operators.normalize import union_all
 from orgweft.session import Scratch, durable, stored
@@ -595,36 +596,23 @@ def even_sample(people: DataFrame, order: list[Column], size: int) -> DataFrame:
 def sampled_pairs(graph: Graph, seed: int, size: int) -> DataFrame:
     """``a, b``: ``size`` of all unordered vertex pairs without replacement, seeded.
 
-    Pair numbers are drawn and then unranked, so the pairs are never listed.
+    Pair numbers are drawn by a keyed permutation and then unranked, so the pairs are never
+    listed or sorted.
     """
-    spark = graph.vertices.sparkSession
     n = graph.size
-    total = n * (n - 1) // 2
-    if size >= total:
-        numbers = spark.range(total).select(F.col("id").alias("number"))
-    else:
-        draws = spark.range(size * 4 + 64).select(
-            "id", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("number")
-        )
-        numbers = (
-            draws.groupBy("number").agg(F.min("id").alias("id")).orderBy("id").limit(size)
-        )
-        if size * 2 > total:
-            # A dense sample: order all pair numbers by a seeded hash instead of drawing.
-            numbers = (
-                spark.range(total)
-                .select(F.col("id").alias("number"))
-                .orderBy(F.xxhash64(F.lit(seed), "number"), "number")
-                .limit(size)
-            )
-    high = F.floor((1 + F.sqrt(1 + 8 * F.col("number").cast("double"))) / 2).cast("bigint")
-    placed = numbers.withColumn("hi", high)
+    numbers = draws(graph.vertices.sparkSession, n * (n - 1) // 2, size, seed)
+    below = lambda hi: F.call_function("div", hi * (hi - 1), F.lit(2).cast("bigint"))
+    near = F.floor((1 + F.sqrt(1 + 8 * F.col("number").cast("double"))) / 2).cast("bigint")
     # Square roots of large numbers may be one off; put the row back in range.
-    base = F.expr("hi * (hi - 1) / 2").cast("bigint")
-    placed = placed.withColumn(
-        "hi", F.when(base > F.col("number"), F.col("hi") - 1).otherwise(F.col("hi"))
-    )
-    placed = placed.withColumn("lo", (F.col("number") - F.expr("hi * (hi - 1) / 2")).cast("bigint"))
+    placed = numbers.withColumn("near", near).select(
+        "number",
+        (
+            F.col("near")
+            - (below(F.col("near")) > F.col("number")).cast("bigint")
+            + (below(F.col("near") + 1) <= F.col("number")).cast("bigint")
+        ).alias("hi"),
+    )
+    placed = placed.withColumn("lo", F.col("number") - below(F.col("hi")))
     low = graph.vertices.select(F.col("v").alias("a"), (F.col("no") - 1).alias("lo"))
     top = graph.vertices.select(F.col("v").alias("b"), (F.col("no") - 1).alias("hi"))
     return durable(placed.join(low, "lo").join(top, "hi").select("a", "b"))
