@@ -2,10 +2,11 @@
 
 Texts are scanned once for three fixed kinds (assignments, access ids, hexadecimal runs)
 and for bare tokens that look random. Each candidate's value is reduced to a hash, and the
-hash is aggregated over the whole corpus by distinct repositories and owners. A value that
-many owners share is a copied example; one that few owners hold and that looks random is
-live. Fixed kinds stay spans either way; bare tokens become spans (``live``) only if they
-are owner-specific.
+hash is aggregated over the whole corpus by distinct repositories and owners. A value is a
+copied example (shared) if ``many_owners`` hold it, or if fewer do, two at least, and it lies
+in ``many_repositories``. One that is not shared and looks random is live. One owner's value
+is that owner's, in however many of its repositories it lies. Fixed kinds stay spans either
+way; bare tokens become spans (``live``) only if they are owner-specific.
 
 An owner is a ``source``; every document stands for a repository of its source.
 
@@ -29,6 +30,7 @@ from orgweft.llm.stages import stored
 
 KINDS = ("assign", "access", "hex", "live")
 MANY_OWNERS = 4
+MANY_REPOSITORIES = 20
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -149,13 +151,19 @@ def ownership(rows: DataFrame) -> DataFrame:
     )
 
 
-def judged(rows: DataFrame, many_owners: int = MANY_OWNERS) -> DataFrame:
+def judged(
+    rows: DataFrame, many_owners: int = MANY_OWNERS, many_repositories: int = MANY_REPOSITORIES
+) -> DataFrame:
     """``key, spans``: for rows with candidates, their spans with ``live`` and ``shared``.
 
-    ``shared``: ``many_owners`` or more hold the value. ``live``: it is not shared and looks
-    random. Bare tokens that are not live are left out.
+    ``shared``: ``many_owners`` or more hold the value, or two or more do in
+    ``many_repositories`` or more. ``live``: it is not shared and looks random. Bare tokens
+    that are not live are left out.
     """
-    values = stored(ownership(rows), "ownership")
+    shared = (F.col("owners") >= many_owners) | (
+        (F.col("owners") >= 2) & (F.col("repositories") >= many_repositories)
+    )
+    values = stored(ownership(rows).select("value", shared.alias("copied")), "ownership")
     spans = (
         rows.where(F.size("spans") > 0)
         .dropDuplicates(["key"])
@@ -167,8 +175,8 @@ def judged(rows: DataFrame, many_owners: int = MANY_OWNERS) -> DataFrame:
                 F.col("s.start").alias("start"),
                 F.col("s.kind").alias("kind"),
                 F.col("s.end").alias("end"),
-                (F.col("owners") >= many_owners).alias("shared"),
-                (F.col("s.random") & (F.col("owners") < many_owners)).alias("live"),
+                F.col("copied").alias("shared"),
+                (F.col("s.random") & ~F.col("copied")).alias("live"),
             ).alias("s"),
         )
         .where((F.col("s.kind") < 3) | F.col("s.live"))
@@ -194,12 +202,14 @@ def _of_kind(kind: int):
     return lambda s: s["kind"] == kind
 
 
-def report(docs: DataFrame, many_owners: int = MANY_OWNERS) -> DataFrame:
+def report(
+    docs: DataFrame, many_owners: int = MANY_OWNERS, many_repositories: int = MANY_REPOSITORIES
+) -> DataFrame:
     """One row per document: counts per kind, digest of the fixed spans, all spans, and how
     many are live and how many are shared examples.
     """
     rows = scan(docs)
-    spans = judged(rows, many_owners).withColumnsRenamed({"key": "_key", "spans": "found"})
+    spans = judged(rows, many_owners, many_repositories).withColumnsRenamed({"key": "_key", "spans": "found"})
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,shared:boolean,live:boolean>>")
     full = rows.join(spans, F.col("key") == F.col("_key"), "left").select(
         "doc_id", F.coalesce("found", none).alias("s")
@@ -215,12 +225,17 @@ def report(docs: DataFrame, many_owners: int = MANY_OWNERS) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, many_owners: int = MANY_OWNERS, note: str = "[secret]") -> DataFrame:
+def redact(
+    docs: DataFrame,
+    many_owners: int = MANY_OWNERS,
+    note: str = "[secret]",
+    many_repositories: int = MANY_REPOSITORIES,
+) -> DataFrame:
     """``docs`` with every span that is not a shared example replaced by ``note``; a column
     ``n_chars`` follows the text. Rows without such spans come back unchanged.
     """
     names = docs.columns
-    spans = judged(scan(docs), many_owners)
+    spans = judged(scan(docs), many_owners, many_repositories)
     cuts = F.expr("filter(spans, s -> NOT s.shared)")
     found = spans.select(F.col("key").alias("_key"), cuts.alias("_cuts")).where(F.size("_cuts") > 0)
     # Spans may overlap across kinds: what lies between them is kept, by the furthest end so far.

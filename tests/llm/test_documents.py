@@ -113,6 +113,35 @@ def test_shared_examples_are_not_redacted(spark):
     assert secrets.report(rows(spark, [])).collect() == []
 
 
+def test_secret_verdicts(spark):
+    """Live and shared against plain counts of distinct documents and sources."""
+    values = ["q8Zr4kLm2Xv7Bn5Tj1Wd", "A1b2C3d4E5f6G7h8I9j0", "aaaaaaaa", "Zx9Cv8Bn7Mq6Wp5Er4Ty", "K1l2M3n4O5p6Q7r8S9t0"]
+    held = {0: [(i, "a") for i in range(9)], 1: [(20, "a"), (21, "b"), (21, "b")], 2: [(30, "a")]}
+    held |= {3: [(40 + i, "ab"[i == 0]) for i in range(5)], 4: [(60, "a"), (61, "b"), (62, None)]}
+    table = [(i, s, f"token={values[v]} bare {values[v][::-1]}") for v, places in held.items() for i, s in places]
+    table += [(90, "c", None), (91, "c", "")]
+    docs = spark.createDataFrame(table, "doc_id bigint, source string, text string")
+    places = {}
+    for i, source, text in table:
+        for s in secrets.find(text):
+            places.setdefault(s["value"], set()).add((source or "", i))
+    got = secrets.report(docs, many_owners=3, many_repositories=5).collect()
+    assert len(got) == len(table)
+    texts = {i: text for i, _, text in table}
+    for r in got:
+        live = shared = 0
+        for s in secrets.find(texts[r.doc_id]):
+            owners = {source for source, _ in places[s["value"]]}
+            copied = len(owners) >= 3 or (len(owners) >= 2 and len(places[s["value"]]) >= 5)
+            live += s["random"] and not copied
+            shared += copied and s["kind"] < 3
+        assert (r.n_live, r.n_shared) == (live, shared)
+    verdicts = {r.doc_id: (r.n_live > 0, r.n_shared > 0) for r in got}
+    assert [verdicts[i] for i in (0, 20, 30, 40, 60, 90)] == [
+        (True, False), (True, False), (False, False), (False, True), (False, True), (False, False)
+    ]
+
+
 # --- decontamination ------------------------------------------------------------
 
 
