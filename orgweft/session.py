@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +30,9 @@ def session(app_name: str = "orgweft", **conf: str) -> SparkSession:
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -82,6 +87,33 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Their Python workers import it by name, and see neither the driver's folder nor its path.
+    Sessions of ``session`` have it; others need it where the package is not installed on
+    every machine. The archive lies in the shared folder, where each executor fetches it.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, f"{package.name}/{file.relative_to(package)}")
+    path = f"{shared_folder(spark, 'package')}/{package.name}.zip"
+    place, store = _place(spark, path)
+    out = store.create(place)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(place.makeQualified(store.getUri(), store.getWorkingDirectory()).toString())
+    _SHIPPED.add(application)
+
+
 def _place(spark: SparkSession, path: str) -> tuple:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
