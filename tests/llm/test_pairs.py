@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -183,3 +184,24 @@ def test_repeats_in_one_text_or_under_one_id_stay(spark):
     got = suffix_repeats.remove(rows(spark, [text, text + " x"], [3, 3])).collect()
     assert [r.n_removed for r in got] == [0, 0]
     assert suffix_repeats.remove(rows(spark, [])).collect() == []
+
+
+def test_frequent_prefixes_hold_one_block_at_a_time():
+    """Executors ran out of memory when the hashes of a whole batch were held."""
+    text = " ".join(prose(8, 2000, 3000)) + " "
+    text *= (1 << 20) // len(text) + 1
+
+    def peak(n):
+        batch = pa.RecordBatch.from_arrays([pa.array([text] * n)], names=["text"])
+        run = suffix_repeats._frequent_prefixes(13, 64)
+        for _ in run(iter([batch])):  # tables of powers are made once
+            break
+        tracemalloc.start()
+        try:
+            rows_ = sum(out.num_rows for out in run(iter([batch])))
+            return rows_, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(2)[0] > 0
+    assert peak(24)[1] < 1.5 * peak(4)[1]
