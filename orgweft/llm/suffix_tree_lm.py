@@ -52,16 +52,16 @@ HEAD_SHARE = 4e-6
 END_HASH = int(w.mix(np.array([0x0A], dtype=np.uint64))[0])
 SYMBOLS = 256
 CHUNK_BYTES = 2 << 20
-HELD_STRINGS = 2_000_000
+HELD_STRINGS = 1_000_000
 HEAD_STRINGS = 3_000_000
 
 
 # --- strings of symbols ---------------------------------------------------------
 
 
-def _chunks(texts: list[str | None]):
+def _chunks(texts: pa.Array):
     """``from, to`` of runs of texts of some bytes, one text at least."""
-    sizes = np.array([0 if text is None else len(text) for text in texts], dtype=np.int64)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start = 0
     while start < len(sizes):
         stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), CHUNK_BYTES)))
@@ -100,7 +100,7 @@ def _stream(texts: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray
 
 def _added(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts summed by value."""
-    order = np.argsort(value)
+    order = np.argsort(value, kind="stable")  # linear, as the values are a few sorted runs
     value, count = value[order], count[order]
     first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
     return value[first], np.add.reduceat(count, first)
@@ -125,10 +125,10 @@ def _counter(depth: int):
         sums = {kind: (np.empty(0, np.uint64), np.empty(0, np.int64)) for kind in (False, True)}
         for batch in batches:
             for held_out in sums:
-                texts = batch.filter(pc.equal(batch.column("held_out"), held_out)).column("text").to_pylist()
+                texts = batch.filter(pc.equal(batch.column("held_out"), held_out)).column("text")
                 for start, stop in _chunks(texts):
                     value, count = sums[held_out]
-                    code, _, _ = _stream(texts[start:stop], depth)
+                    code, _, _ = _stream(texts[start:stop].to_pylist(), depth)
                     new, times = np.unique(code, return_counts=True)
                     value, count = _added(np.concatenate([value, new]), np.concatenate([count, times]))
                     if len(value) > HELD_STRINGS:
@@ -336,10 +336,49 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     )
 
 
-def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), dtype=bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+class _Places:
+    """Where values lie in a sorted table of distinct ones: by the slot of their hash. Those of the
+    table that lose their slot to another have one among fewer, the last few are searched.
+    """
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.levels = []
+        self.left = np.arange(len(table), dtype=np.int32)
+        factor = 0x9E3779B97F4A7C15
+        while len(self.left) > 16 and len(self.levels) < 8:
+            bits = len(self.left).bit_length() + 1
+            slots = np.full(1 << bits, -1, dtype=np.int32)
+            own = _slot(table[self.left], factor, bits)
+            slots[own] = self.left
+            self.levels.append((factor, bits, slots))
+            self.left = self.left[slots[own] != self.left]
+            factor = factor * factor % (1 << 64) + 2
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the table holds each value, and its place there if so."""
+        inside = np.zeros(len(values), dtype=bool)
+        place = np.zeros(len(values), dtype=np.int32)
+        open_, wanted = np.arange(len(values)), values
+        for factor, bits, slots in self.levels:
+            at = slots[_slot(wanted, factor, bits)]
+            found = (self.table[at] == wanted) & (at >= 0)
+            inside[open_[found]] = True
+            place[open_[found]] = at[found]
+            # A value whose slot is empty is not in the table.
+            more = ~found & (at >= 0)
+            open_, wanted = open_[more], wanted[more]
+        if len(self.left) and len(wanted):
+            last = self.table[self.left]
+            at = np.minimum(np.searchsorted(last, wanted), len(last) - 1)
+            found = last[at] == wanted
+            inside[open_[found]] = True
+            place[open_[found]] = self.left[at[found]]
+        return inside, place
+
+
+def _slot(values: np.ndarray, factor: int, bits: int) -> np.ndarray:
+    return ((values * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 #: What a row of the scorer stands for.
@@ -367,6 +406,7 @@ def _scorer(head, frequent, total: int, distinct: int, depth: int):
         strings, values = frequent.value
         below = total + 0.1 * (distinct + 1)
         gain = np.log10((np.append(counts, 0) + 0.1) / below)
+        words, codes = _Places(known), _Places(strings)
 
         def rows(batch, kind, at, h, n, own):
             empty = lambda name: pa.nulls(len(at), batch.schema.field(name).type)
@@ -389,10 +429,8 @@ def _scorer(head, frequent, total: int, distinct: int, depth: int):
             base = np.zeros(batch.num_rows)
             for start, stop, block in w.blocks(batch.column("text"), lower=True):
                 owner = block.owner()
-                inside = _member(block.hashes, known)
-                value = np.zeros(len(owner))
-                if len(known):
-                    value[inside] = gain[np.searchsorted(known, block.hashes[inside])]
+                inside, place = words.find(block.hashes)
+                value = np.where(inside, gain[place], 0.0)
                 size = stop - start
                 n_tokens[start:stop] = np.diff(block.first)
                 n_known[start:stop] = np.bincount(owner[inside], minlength=size)
@@ -400,21 +438,14 @@ def _scorer(head, frequent, total: int, distinct: int, depth: int):
                 at, word, n = _repeats(owner[~inside], block.hashes[~inside])
                 if len(at):
                     yield rows(batch, WORD, start + at, pa.array(w.signed(word)), pa.array(n), None)
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             score = np.zeros(batch.num_rows)
             for start, stop in _chunks(texts):
-                code, first, _ = _stream(texts[start:stop], depth)
-                own = pa.array(code).dictionary_encode()
-                place, own = own.indices.to_numpy(), own.dictionary.to_numpy()
-                order = np.argsort(own)
-                value = np.zeros(len(own))
-                inside = np.zeros(len(own), dtype=bool)
-                if len(strings):
-                    at = np.minimum(np.searchsorted(strings, own[order]), len(strings) - 1)
-                    inside[order] = strings[at] == own[order]
-                    value[order] = np.where(inside[order], values[at], 0.0)
-                score[start:stop] = np.add.reduceat(value[place], first)
-                rare = np.flatnonzero(~inside[place])
+                code, first, _ = _stream(texts[start:stop].to_pylist(), depth)
+                inside, place = codes.find(code)
+                value = np.where(inside, values[place], 0.0) if len(values) else np.zeros(len(code))
+                score[start:stop] = np.add.reduceat(value, first)
+                rare = np.flatnonzero(~inside)
                 if len(rare):
                     at = np.searchsorted(first, rare, "right") - 1
                     yield rows(batch, STRING, start + at, pa.array(w.signed(code[rare])), pa.array(np.ones(len(rare), np.int64)), None)

@@ -373,3 +373,13 @@ def test_solver_covers_each_length_once():
                 used[a] += n * times
         assert used == histogram
         assert sum(t for _, t in plan) <= 1.01 * sum(a * n for a, n in histogram.items()) / 2048 + 2
+
+
+def test_places_of_strings_by_hash_slots():
+    draw = np.random.default_rng(4)
+    for n in (0, 1, 5, 17, 300, 40000):
+        table = np.unique(draw.integers(0, 2**56, n, dtype=np.uint64))
+        asked = np.concatenate([table, draw.integers(0, 2**56, 5000, dtype=np.uint64), table[::-1], table[:3] + np.uint64(1)])
+        inside, place = suffix_tree_lm._Places(table).find(asked)
+        assert (inside == np.isin(asked, table)).all()
+        assert (table[place[inside]] == asked[inside]).all()
