@@ -1,6 +1,8 @@
 import pytest
 
-from orgweft.plans.bundle import build_bundle, canonicalize, complete
+from orgweft.operators import canonicalize as C
+from orgweft.operators.lenses import gap_findings
+from orgweft.plans.bundle import build_bundle, canonicalize, complete, find_gaps, stated_nodes
 from orgweft.plans.corpus import synthetic_org
 from orgweft.schemas import LABEL_OF_KIND
 
@@ -22,3 +24,17 @@ def test_facts_that_are_not_written_give_the_same_graph(spark):
     assert "Aggregate" not in plan
     with pytest.raises(ValueError, match="state nodes"):
         canonicalize(stated, "d", facts={"artifact": stated})
+
+
+def test_gaps_are_found_without_making_edges(spark, monkeypatch):
+    records, contracts = synthetic_org(spark, people=60, modules=38, teams=1)
+    whole = build_bundle(records, "d", contracts)
+    expected = sorted(map(tuple, gap_findings(whole.nodes, whole.edges).collect()), key=str)
+
+    def made(*_args, **_kw):
+        raise AssertionError("edges of records were made")
+
+    monkeypatch.setattr(C, "observed_edge_candidates", made)
+    stated = stated_nodes(records, "d")
+    found = find_gaps(stated.evidence, stated.nodes.kept, contracts, "d")
+    assert sorted(map(tuple, gap_findings(found.nodes, found.edges.kept).collect()), key=str) == expected != []
