@@ -10,7 +10,7 @@ from orgweft.functions.text import bare_module, handle_stem, key_suffix, normali
 from orgweft.operators.graph import connected_components
 from orgweft.operators.normalize import records_of, union_all
 from orgweft.schemas import meta_struct
-from orgweft.session import scalar
+from orgweft.session import few, scalar, stored
 
 # The person-id fields of each export row shape.
 IDENTITY_FIELDS = {
@@ -393,7 +393,7 @@ def identity_candidates(nodes: DataFrame, edges: DataFrame, decisions: DataFrame
         F.array_sort(F.collect_set("signal")).alias("signals"),
         F.count("*").alias("members"),
     )
-    group = members.select(F.col("person_key"), "candidate_id")
+    group = few(stored(members.select("person_key", "candidate_id"), "members"))
     ends = edges.select(
         F.col("canonical_key").alias("edge_key"),
         "rel_type",
@@ -404,13 +404,10 @@ def identity_candidates(nodes: DataFrame, edges: DataFrame, decisions: DataFrame
     marker = F.lit("candidate")
     touched = (
         ends.join(group, "person_key")
-        .groupBy("candidate_id", "edge_key")
+        .groupBy("candidate_id", "edge_key", "rel_type", "source_key", "target_key")
         .agg(
-            F.first("rel_type").alias("rel_type"),
             F.max(F.when(F.col("person_key") == F.col("source_key"), True)).alias("source_in"),
             F.max(F.when(F.col("person_key") == F.col("target_key"), True)).alias("target_in"),
-            F.first("source_key").alias("source_key"),
-            F.first("target_key").alias("target_key"),
         )
         .select(
             "candidate_id",

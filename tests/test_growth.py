@@ -56,3 +56,34 @@ def test_links_are_not_read_where_all_evidence_is_known(spark):
     assert {tuple(r) for r in V.bundle_violations(less).collect()} == expected != set()
     twice = replace(base, evidence=base.evidence.union(base.evidence.where(F.col("evidence_id") == one)))
     assert [tuple(r) for r in V.bundle_violations(twice).collect()] == [(one, "evidence id is not unique")]
+
+
+def _talk(spark, folder):
+    people = [(k, f"Supplier#{k}", k % 3, 100.0 * k) for k in range(10)]
+    spark.createDataFrame(people, "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE").write.parquet(
+        f"{folder}/supplier.parquet"
+    )
+    rows = [(o, o * 3 % 17, o % 10, 1, 5.0, 10.0 + o, "R") for o in range(40)]
+    lines = spark.createDataFrame(
+        rows + rows[:9],
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+        "l_extendedprice DOUBLE, l_returnflag STRING",
+    )
+    lines.withColumn("l_shipdate", F.timestamp_seconds("l_orderkey")).write.parquet(f"{folder}/lineitem.parquet")
+    return Views(spark, str(folder))
+
+
+def test_pairs_of_talk_are_found_without_reducing_records(spark, tmp_path):
+    v = _talk(spark, tmp_path)
+    names = ("canonical_key", "rel_type", "source_key", "target_key")
+    keys = lambda df: sorted(map(tuple, df.select(*names).collect()))
+    assert keys(v.talk_pairs) == keys(v.talk_edges) != []
+    # One grouping, by hash; records would be sorted by their ids.
+    assert "SortAggregate" not in _plan(v.talk_pairs) and "l_extendedprice" not in _plan(v.talk_pairs)
+
+
+def test_edges_of_candidates_are_grouped_by_hash(spark, tmp_path):
+    v = _talk(spark, tmp_path)
+    nodes = canonicalize(v.people, "d").nodes
+    plan = _plan(I.identity_candidates(nodes, v.talk_pairs))
+    assert not [line for line in plan.splitlines() if "SortAggregate" in line and "edge_key" in line]
