@@ -14,9 +14,6 @@ from orgweft.catalog.views import BASE, Views
 from orgweft.session import shared_folder
 from orgweft.sources import chat, commits, mail, tickets
 
-# A character that no table holds: it keeps the CSV writer from quoting lines of other formats.
-_NO_QUOTE = "\u0000"
-
 
 def _written(v: Views, lines: DataFrame, name: str, *, separator: str = "\n") -> str:
     """One text record per row; each record is followed by the separator."""
@@ -49,9 +46,8 @@ def chat_export(v: Views) -> DataFrame:
         F.to_json(F.concat(F.collect_list(message), F.array(F.min(robot)))).alias("value")
     )
     folder = shared_folder(v.spark, "chat_export")
-    days.write.partitionBy("channel").option("extension", "json").option("quote", _NO_QUOTE).option(
-        "escapeQuotes", False
-    ).option("sep", "\u0001").csv(folder)
+    named = _text("channel=", F.coalesce("channel", F.lit("__HIVE_DEFAULT_PARTITION__")))
+    chat.write_chat_days(days.select(named.alias("channel"), "value"), folder)
     modules = v.channel_modules.withColumn("channel", F.concat(F.lit("channel="), "channel"))
     found = chat.slack_export_rows(v.spark, folder, modules)
     return found.select(

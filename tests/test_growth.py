@@ -87,3 +87,13 @@ def test_edges_of_candidates_are_grouped_by_hash(spark, tmp_path):
     nodes = canonicalize(v.people, "d").nodes
     plan = _plan(I.identity_candidates(nodes, v.talk_pairs))
     assert not [line for line in plan.splitlines() if "SortAggregate" in line and "edge_key" in line]
+
+
+def test_chat_files_are_written_by_tasks_and_parsed_once(spark, tmp_path):
+    rows = [(f"channel=c{k}", json.dumps([{"user": f"u{k}", "ts": f"{k}.5", "text": "é\n"}])) for k in range(3)]
+    chat.write_chat_days(spark.createDataFrame(rows, "channel STRING, value STRING"), f"file:{tmp_path}")
+    found = chat.slack_export_rows(spark, str(tmp_path))
+    assert sorted((r["id"], r["author_id"], r["text"]) for r in found.collect()) == [
+        (f"channel=c{k}-{k}.5", f"u{k}", "é\n") for k in range(3)
+    ]
+    assert "FileScan json" not in _plan(found)
