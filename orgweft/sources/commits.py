@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orgweft.functions.text import trailer_dependencies
 from orgweft.schemas import COMMIT_ROW, conform
+from orgweft.session import FEW, stored
 
 # Separators of the log format.
 RECORD_SEPARATOR, FIELD_SEPARATOR = "\x1e", "\x1f"
@@ -22,10 +23,15 @@ def path_modules(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
     """``id, module_keys`` from ``id, path`` and ``prefix, module``.
 
     A path belongs to a prefix that equals it or one of its folders, which makes the
-    prefix test an equi join.
+    prefix test an equi join. Where the prefixes were counted and found few, the steps meet them
+    before any shuffle.
     """
     bases = prefixes.select(F.regexp_replace("prefix", "/+$", "").alias("base"), "module").distinct()
-    steps = paths.select("id", F.explode(ancestors(F.col("path"))).alias("base")).distinct()
+    steps = paths.select("id", F.explode(ancestors(F.col("path"))).alias("base"))
+    if bases.limit(FEW + 1).count() <= FEW:
+        bases = F.broadcast(bases)
+    else:
+        steps = steps.distinct()
     return (
         steps.join(bases, "base")
         .groupBy("id")
@@ -45,7 +51,7 @@ def commit_blocks(blocks: DataFrame) -> DataFrame:
     """``sha, occurred_at_epoch, author_id, message, paths, dependency_keys`` per block."""
     every = F.transform(F.split("value", r"\r\n|[\n\r]"), lambda line: F.trim(F.regexp_replace(line, "^[\\t ]+|[\\t ]+$", "")))
     lines = F.filter(every, lambda line: F.length(line) > 0)
-    rows = blocks.select(lines.alias("lines")).where(F.size("lines") > 0)
+    rows = blocks.where(F.col("value").rlike(r"[^\t\n\r ]")).select(lines.alias("lines"))
     split = rows.select(
         F.split(F.get("lines", F.lit(0)), FIELD_SEPARATOR).alias("head"),
         F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))).alias("rest"),
@@ -67,7 +73,7 @@ def commit_blocks(blocks: DataFrame) -> DataFrame:
 
 def git_log_rows(spark: SparkSession, path: str, prefixes: DataFrame) -> DataFrame:
     """Commit rows. ``prefixes``: prefix, module."""
-    commits = commit_blocks(read_git_log(spark, path))
+    commits = stored(commit_blocks(read_git_log(spark, path)), "commits")
     touched = path_modules(
         commits.select(F.col("sha").alias("id"), F.explode("paths").alias("path")), prefixes
     ).withColumnRenamed("id", "sha")

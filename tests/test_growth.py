@@ -97,3 +97,20 @@ def test_chat_files_are_written_by_tasks_and_parsed_once(spark, tmp_path):
         (f"channel=c{k}-{k}.5", f"u{k}", "é\n") for k in range(3)
     ]
     assert "FileScan json" not in _plan(found)
+
+
+def test_commit_logs_are_parsed_once(spark, tmp_path):
+    text = "o1\x1f5\x1fA@x\x1fhi\x1fbody\n\nsrc/a/p.py\nsrc/a/q.py\nsrc/b/p.py\n\x1e\n \t\n\x1eo2\x1f6\x1fB@x\x1fho\x1f\n"
+    (tmp_path / "log").write_text(text)
+    prefixes = spark.createDataFrame([("src/a/", "m"), ("src", "s"), ("src/a", "n")], "prefix STRING, module STRING")
+    found = commits.git_log_rows(spark, str(tmp_path / "log"), prefixes)
+    assert sorted((r["sha"], r["module_keys"]) for r in found.collect()) == [("o1", ["m", "n", "s"]), ("o2", [])]
+    assert "FileScan text" not in _plan(found)
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_paths_meet_prefixes_few_or_many(spark, monkeypatch, few):
+    monkeypatch.setattr(commits, "FEW", few)
+    paths = spark.createDataFrame([("1", "a/b/c"), ("1", "a/b/d"), ("2", "x/y")], "id STRING, path STRING")
+    prefixes = spark.createDataFrame([("a/b/", "m"), ("a", "n")], "prefix STRING, module STRING")
+    assert [tuple(r) for r in commits.path_modules(paths, prefixes).collect()] == [("1", ["m", "n"])]
