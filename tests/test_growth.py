@@ -114,3 +114,17 @@ def test_paths_meet_prefixes_few_or_many(spark, monkeypatch, few):
     paths = spark.createDataFrame([("1", "a/b/c"), ("1", "a/b/d"), ("2", "x/y")], "id STRING, path STRING")
     prefixes = spark.createDataFrame([("a/b/", "m"), ("a", "n")], "prefix STRING, module STRING")
     assert [tuple(r) for r in commits.path_modules(paths, prefixes).collect()] == [("1", ["m", "n"])]
+
+
+def test_levels_of_a_walk_need_one_shuffle(spark, monkeypatch):
+    arcs = spark.createDataFrame([(f"p{a}", f"p{b}") for a in range(12) for b in (a + 1, a * 5 % 12)], "src STRING, dst STRING")
+    graph = G.build_graph(arcs, arcs.select(F.col("src").alias("v")))
+    assert graph.small
+    plans = []
+    step = G.Scratch.step
+    monkeypatch.setattr(G.Scratch, "step", lambda self, df, name: plans.append(_plan(df)) or step(self, df, name))
+    near = {r["v"]: round(r["centrality"], 9) for r in G.betweenness_bounded(graph, G.all_sources(graph), 4).collect()}
+    assert plans and all(plan.count("Exchange hashpartitioning") <= 2 for plan in plans)
+    far = replace(graph, small=False)
+    assert near == {r["v"]: round(r["centrality"], 9) for r in G.betweenness_bounded(far, G.all_sources(far), 4).collect()}
+    assert any(near.values())
