@@ -7,6 +7,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from orgweft.operators import evaluate as E
+from orgweft.operators import questions as Q
 from orgweft.operators import repairs as R
 from orgweft.plans.bundle import canonicalize, complete
 from orgweft.plans.corpus import synthetic_org
@@ -54,3 +56,19 @@ def test_overlays_are_in_the_edges_and_their_part(spark, org):
     repaired = R.apply_repairs(org, approved)
     added = set(_rows(repaired.edges)) - set(_rows(org.edges))
     assert len(added) == 1 and added == set(_rows(repaired.of_type("COMMUNICATES"))) - set(_rows(org.of_type("COMMUNICATES")))
+
+
+def test_checks_of_answers_are_written_apart(spark, org):
+    asked = spark.createDataFrame([(1, "Who owns module-03?"), (2, "What time is it?")], "question_id INT, text STRING")
+    labels = spark.createDataFrame(
+        [(1, "direct", "answered", "direct", None, 1, 1, 0), (2, "none", "unsupported", "unsupported", None, 0, 0, 0)],
+        "question_id INT, category STRING, expected_status STRING, expected_answer_kind STRING, "
+        "expected_person_keys ARRAY<STRING>, minimum_evidence INT, minimum_paths INT, minimum_conflicts INT",
+    )
+    checks = E.question_checks(Q.answer_questions(org, asked), labels, org.evidence)
+    # No step above the counts has the evidence, nor the joins behind it, in its plan.
+    plan = checks._jdf.queryExecution().analyzed().toString()
+    assert "evidence_id" not in plan
+    got = {r["question_id"]: r for r in checks.collect()}
+    assert got[1]["evidence_ok"] and got[1]["evidence_known"] and got[1]["paths_ok"] and not got[1]["people_ok"]
+    assert got[2]["passed"]
